@@ -20,6 +20,8 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import slices, small_batches, table, texts_of, written
 
-BLOCK, PERCENTILE, CACHED = 256, 90, 600_000
+BLOCK, PERCENTILE, CACHED = 256, 90, 800_000
 END_ID = 2
 END = END_ID.to_bytes(4, "little")
 PRE_TOKEN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -61,11 +63,11 @@ class Encoder:
         if len(self.cache) > CACHED:
             self.cache.clear()
         split = [None if ODD.search(t) else PRE_TOKEN.findall(t) for t in texts]
-        missing: set[str] = set()
-        for parts in split:
-            missing.update(set(parts or ()).difference(self.cache))
-        self._learn(missing)
-        get, out = self.cache.__getitem__, []
+        here = set(chain.from_iterable(x for x in split if x))
+        self._learn(here.difference(self.cache))
+        # A small table of this batch's own words stays in the processor's cache.
+        near = dict(zip(here, map(self.cache.__getitem__, here), strict=True))
+        get, out = near.__getitem__, []
         for t, parts in zip(texts, split, strict=True):
             ids = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if parts is None else b"".join(map(get, parts))
             out.append(np.frombuffer(ids + END, "<u4"))
@@ -88,6 +90,12 @@ class Encoder:
                 at = end + 4
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process: its cache outlives a task."""
+    return Encoder(path)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """A segment's bytes (without the documents' lengths)."""
     n = len(ids)
@@ -151,7 +159,7 @@ def write(documents: DataFrame, path: str, segment_ids: int = 1 << 18) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, number = Encoder(path), TaskContext.get().partitionId()
+        encoder, number = _encoder(path), TaskContext.get().partitionId()
         segment = before = total = 0
         ids, docs = [], []
 
@@ -180,7 +188,7 @@ SEGMENT_ARROW = pa.schema([("range", pa.int32()), ("segment", pa.int32()), ("bef
 
 def read(segments: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids_crc32 of every document, from the stored bytes."""
-    # One row for each range: their running total places a range; within it the segments hold their own.
+    # One row for each range (no more than shuffle partitions), small enough to broadcast: their running total places a range; within it the segments hold their own.
     totals = segments.groupBy("range").agg(F.sum("n_ids").alias("n"))
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     places = totals.select("range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
@@ -194,7 +202,7 @@ def read(segments: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(ends, row["lengths"], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["base"] + row["before"] + ends - row["lengths"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(places, "range").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.join(F.broadcast(places), "range").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
