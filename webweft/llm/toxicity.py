@@ -28,7 +28,7 @@ WINDOW, STRIDE = 32, 16
 WORD_BITS, CHAR_BITS, ODDS_BITS = 15, 13, 17
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 6, 8
 #: Bound of the training sample: so many labelled rows of each class.
-TRAIN_ROWS_PER_CLASS = 1200
+TRAIN_ROWS_PER_CLASS = 700
 #: Words in fewer training documents get no learned vector of their own, only their odds and characters.
 KNOWN_FROM = 5
 
@@ -52,7 +52,7 @@ def affixes(words: Words, of: np.ndarray) -> np.ndarray:
     at, data = np.arange(8), np.concatenate([words.data, np.zeros(8, np.uint8)])
     head = data[start[:, None] + at].astype(np.uint64)
     back = data[np.maximum(words.ends[of][:, None] - 1 - at, 0)].astype(np.uint64)
-    out = np.zeros((len(of), 3, 5), np.int64)
+    out = np.zeros((len(of), 3, 5), np.int32)
     out[:, 0, 0] = words.hashes[of] >> np.uint64(64 - ODDS_BITS)
     for kind, side in ((1, head), (2, back)):
         h = np.full(len(of), kind, np.uint64)
@@ -63,6 +63,12 @@ def affixes(words: Words, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def chars_of(words: Words, of: np.ndarray) -> np.ndarray:
+    """Buckets of the character n-grams of the words numbered `of`; 0 is none."""
+    parts = [(word_features(words, of[a : a + 10_000]) & ((1 << CHAR_BITS) - 1)).astype(np.uint16) for a in range(0, len(of), 10_000)]
+    return np.concatenate(parts) if parts else np.zeros((0, 1), np.uint16)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -77,11 +83,14 @@ class ToxicityModel:
 
     def inputs(self, hashes: np.ndarray, chars: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """Input vectors of distinct words; the last row is of no word. odds: (words, 3)."""
-        bucket = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-        have = (chars > 0).sum(1, keepdims=True)
-        mean = self.p["chars"][chars].sum(1) / np.maximum(have, 1)
-        x = np.concatenate([self.p["words"][bucket], odds, mean], 1)
-        return np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)]).astype(np.float32)
+        x = np.zeros((len(hashes) + 1, WORD_DIM + 3 + CHAR_DIM), np.float32)
+        for a in range(0, len(hashes), 10_000):
+            some = slice(a, min(a + 10_000, len(hashes)))
+            x[some, :WORD_DIM] = self.p["words"][(hashes[some] >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+            x[some, WORD_DIM : WORD_DIM + 3] = odds[some]
+            have = (chars[some] > 0).sum(1, keepdims=True)
+            x[some, WORD_DIM + 3 :] = self.p["chars"][chars[some]].sum(1) / np.maximum(have, 1)
+        return x
 
     def forward(self, x: np.ndarray, idx: np.ndarray, keep: bool = False):
         """Logits of windows; x: inputs of distinct words, idx: (windows, WINDOW) rows of x, the last: none."""
@@ -111,11 +120,12 @@ class ToxicityModel:
     def logits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The logit of every window, and the text that it is of."""
         _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        x = self.inputs(words.hashes[first], word_features(words, first) & ((1 << CHAR_BITS) - 1), self.odds[affixes(words, first)].max(2))
+        x = self.inputs(words.hashes[first], chars_of(words, first), self.odds[affixes(words, first)].max(2))
         at, owner = windows(words)
-        idx = np.where(at >= 0, np.append(back, 0)[at], len(x) - 1)
-        out = [self.forward(x, idx[i : i + 2048]) for i in range(0, len(idx), 2048)]
-        return np.concatenate(out) if out else np.zeros(0), owner
+        return self.all_logits(x, np.where(at >= 0, np.append(back, 0)[at], len(x) - 1)), owner
+
+    def all_logits(self, x: np.ndarray, idx: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.float32), *(self.forward(x, idx[i : i + 2048]) for i in range(0, len(idx), 2048))])
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None or not len(texts):
@@ -171,7 +181,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 8, steps: int = 75, batch:
     draw = np.random.default_rng(seed)
     words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string())), plain=True)
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-    chars, hashes = word_features(words, first) & ((1 << CHAR_BITS) - 1), words.hashes[first]
+    chars, hashes = chars_of(words, first), words.hashes[first]
     bucket = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     parts = affixes(words, first)
     doc = np.repeat(np.arange(len(y)), np.diff(words.ptr))
@@ -223,7 +233,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 8, steps: int = 75, batch:
                 m1[k] = 0.9 * m1[k] + 0.1 * g[k]
                 m2[k] = 0.99 * m2[k] + 0.01 * g[k] ** 2
                 v -= ((0.002 if k in ("words", "chars") else 0.02) * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-        strength, _ = model.logits(words)
+        strength = model.all_logits(model.inputs(hashes, chars, odds[parts].max(2)), idx)
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, owner, strength)
     # Score 0.6 halfway between the edges of the classes; some labels are taken to be wrong.
