@@ -204,7 +204,8 @@ def classes_of(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     number = F.coalesce(F.col("doc_id"), -F.pmod(F.xxhash64("d1", "d2"), F.lit(1 << 62)) - 1)
     nodes = written(signed.groupBy("d1", "d2").agg(F.min(number).alias("node"), F.count("*").alias("n_copies"), F.first("filled").alias("filled"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "nodes")
     clusters = components(ties(nodes.filter("filled")), "clusters")
-    texts = documents.select(F.col("doc_id").alias("node"), "text").join(clusters, "node").join(nodes.filter("node >= 0").groupBy("node").agg(F.max("n_copies").alias("n_copies")), "node")
+    # Clusters grow with the input: the same join at every size.
+    texts = documents.select(F.col("doc_id").alias("node"), "text").join(clusters.hint("merge"), "node").join(nodes.filter("node >= 0").groupBy("node").agg(F.max("n_copies").alias("n_copies")), "node")
     found = _block_pairs(texts, "root", "node", BLOCK).groupBy("root", "_i", "_j").applyInPandas(verify(threshold), "node long, root long, links long")
     found = written(found, "links")
     classes = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "classes").select("node", F.col("root").alias("class_id"))
