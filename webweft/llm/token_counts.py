@@ -79,6 +79,12 @@ class Counted:
         return [sum(known.get(p) or cache[p] for p in parts) for parts in split]
 
 
+@lru_cache(maxsize=1)
+def _counted(path: str) -> Counted:
+    """One for each worker process: its cache outlives a task."""
+    return Counted(path, {})
+
+
 def frequent_lengths(documents: DataFrame, path: str, frequent: int = FREQUENT) -> dict[str, int]:
     """Lengths of the commonest pre-tokens. Every task reads all its texts and gives its own SUMMARY commonest only."""
 
@@ -103,7 +109,8 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 4096) -> DataFram
     known = documents.sparkSession.sparkContext.broadcast(frequent_lengths(documents, path) if _model(path)[1] else {})
 
     def run(batches):
-        counted = Counted(path, known.value)
+        counted = _counted(path)
+        counted.frequent = known.value
         for batch in batches:
             for part in slices(batch):
                 texts = texts_of(part)
