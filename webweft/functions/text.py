@@ -19,6 +19,11 @@ def ascii_lower(c: Column | str) -> Column:
     return F.translate(col(c), UPPER, LOWER)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once: long expressions would otherwise be copied at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(c: Column, needles: list[str] | tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(c, F.lit(n)) for n in needles))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, col, group
+from .text import ascii_lower, col, group, let
 
 URL_TYPE = "struct<scheme:string,host:string,port:int,path:string,query:string,fragment:string>"
 #: Schemes that are never followed.
@@ -17,25 +17,30 @@ JSON_PAGE_KEYS = (*PAGE_KEYS, "pagenumber", "page_number")
 
 def url_parse(url: Column | str) -> Column:
     """Struct of scheme, host, port, path, query, fragment; null where the text is no absolute or // URL."""
-    u = col(url)
-    k = F.instr(u, "://")
-    scheme = F.when(k > 0, ascii_lower(F.substr(u, F.lit(1), k - 1))).when(F.startswith(u, F.lit("//")), F.lit(""))
-    rest = F.when(k > 0, F.substr(u, k + 3)).otherwise(F.substr(u, F.lit(3)))
-    authority = F.regexp_replace(group(rest, r"^[^/?#]*", 0), r"^[^@]*@", "")
-    bracket, colon = F.contains(authority, F.lit("[")), F.contains(authority, F.lit(":"))
-    shaped = F.when(bracket, authority.rlike(r"^\[[^\]]*\](:.*)?$")).when(colon, authority.rlike(r"^.+:[^:]+$")).otherwise(authority != "")
-    host = F.when(bracket, group(authority, r"^(\[[^\]]*\])")).when(colon, group(authority, r"^(.+):[^:]*$")).otherwise(authority)
-    tail = F.substr(authority, F.length(host) + 1)
-    number = group(tail, r"^:0*([1-9][0-9]{0,4})$").try_cast("int")
-    default = F.when(scheme == "http", 80).when(scheme == "https", 443).otherwise(0)
-    port = F.when(tail == "", default).when(number <= 65535, number)
-    slash, ask, mark = F.instr(rest, "/"), F.instr(rest, "?"), F.instr(rest, "#")
-    first = F.least(F.when(ask > 0, ask).otherwise(1 << 30), F.when(mark > 0, mark).otherwise(1 << 30))
-    path = F.when(slash == 0, "/").when(slash > first, F.substr(rest, slash)).otherwise(group(F.substr(rest, slash), r"^[^?#]*", 0))
-    query = F.when(ask == 0, "").when((mark > 0) & (mark < ask), F.substr(rest, ask + 1)).otherwise(group(F.substr(rest, ask + 1), r"^[^#]*", 0))
-    fragment = F.when(mark == 0, "").otherwise(F.substr(rest, mark + 1))
-    fields = F.struct(scheme.alias("scheme"), ascii_lower(host).alias("host"), port.alias("port"), path.alias("path"), query.alias("query"), fragment.alias("fragment"))
-    return F.when(scheme.isNotNull() & shaped & port.isNotNull(), fields)
+
+    def split(u: Column) -> Column:
+        k = F.instr(u, "://")
+        scheme = F.when(k > 0, ascii_lower(F.substr(u, F.lit(1), k - 1))).when(F.startswith(u, F.lit("//")), F.lit(""))
+        return F.struct(scheme.alias("scheme"), F.when(k > 0, F.substr(u, k + 3)).otherwise(F.substr(u, F.lit(3))).alias("rest"))
+
+    def named(a: Column) -> Column:
+        authority = F.regexp_replace(group(a.rest, r"^[^/?#]*", 0), r"^[^@]*@", "")
+        return let(authority, lambda x: F.struct(a.scheme.alias("scheme"), a.rest.alias("rest"), x.alias("authority"), F.when(F.contains(x, F.lit("[")), group(x, r"^(\[[^\]]*\])")).when(F.contains(x, F.lit(":")), group(x, r"^(.+):[^:]*$")).otherwise(x).alias("host")))
+
+    def fields(b: Column) -> Column:
+        x, tail = b.authority, F.substr(b.authority, F.length(b.host) + 1)
+        shaped = F.when(F.contains(x, F.lit("[")), x.rlike(r"^\[[^\]]*\](:.*)?$")).when(F.contains(x, F.lit(":")), x.rlike(r"^.+:[^:]+$")).otherwise(x != "")
+        number = group(tail, r"^:0*([1-9][0-9]{0,4})$").try_cast("int")
+        port = F.when(tail == "", default_port(b.scheme)).when(number <= 65535, number)
+        slash, ask, mark = F.instr(b.rest, "/"), F.instr(b.rest, "?"), F.instr(b.rest, "#")
+        first = F.least(F.when(ask > 0, ask).otherwise(1 << 30), F.when(mark > 0, mark).otherwise(1 << 30))
+        path = F.when(slash == 0, "/").when(slash > first, F.substr(b.rest, slash)).otherwise(group(F.substr(b.rest, slash), r"^[^?#]*", 0))
+        query = F.when(ask == 0, "").when((mark > 0) & (mark < ask), F.substr(b.rest, ask + 1)).otherwise(group(F.substr(b.rest, ask + 1), r"^[^#]*", 0))
+        fragment = F.when(mark == 0, "").otherwise(F.substr(b.rest, mark + 1))
+        out = F.struct(b.scheme.alias("scheme"), ascii_lower(b.host).alias("host"), port.alias("port"), path.alias("path"), query.alias("query"), fragment.alias("fragment"))
+        return F.when(b.scheme.isNotNull() & shaped, let(out, lambda o: F.when(o.port.isNotNull(), o)))
+
+    return let(col(url), lambda u: let(split(u), lambda a: let(named(a), fields)))
 
 
 def default_port(scheme: Column) -> Column:
@@ -52,6 +57,10 @@ def origin(u: Column) -> Column:
 
 
 def to_string(u: Column, fragment: bool = True) -> Column:
+    return let(u, lambda v: _text(v, fragment))
+
+
+def _text(u: Column, fragment: bool) -> Column:
     base = F.concat(F.when(u["scheme"] != "", F.concat(u["scheme"], F.lit("://"))).otherwise("//"), _authority(u), u["path"])
     base = F.concat(base, F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""))
     return F.concat(base, F.when(u["fragment"] != "", F.concat(F.lit("#"), u["fragment"])).otherwise("")) if fragment else base
@@ -62,17 +71,23 @@ def same_origin(a: Column, b: Column) -> Column:
 
 
 def normalize_path(path: Column | str) -> Column:
-    p = col(path)
-    segments = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
-    stack = F.aggregate(segments, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
-    joined = F.concat(F.lit("/"), F.array_join(stack, "/"))
-    return F.when(F.endswith(p, F.lit("/")) & (F.size(stack) > 0), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+    def normal(p: Column) -> Column:
+        segments = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
+        stack = F.aggregate(segments, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+        return let(stack, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.endswith(p, F.lit("/")) & (F.size(k) > 0), "/").otherwise("")))
+
+    return let(col(path), normal)
 
 
 def canonicalize(u: Column) -> Column:
     """The struct in lower case, with a normalized path and without fragment."""
-    out = F.struct(ascii_lower(u["scheme"]).alias("scheme"), ascii_lower(u["host"]).alias("host"), u["port"].alias("port"), normalize_path(u["path"]).alias("path"), u["query"].alias("query"), F.lit("").alias("fragment"))
-    return F.when(u.isNotNull(), out)
+
+    def lowered(v: Column) -> Column:
+        out = F.struct(ascii_lower(v["scheme"]).alias("scheme"), ascii_lower(v["host"]).alias("host"), v["port"].alias("port"), normalize_path(v["path"]).alias("path"), v["query"].alias("query"), F.lit("").alias("fragment"))
+        return F.when(v.isNotNull(), out)
+
+    return let(u, lowered)
 
 
 def canonical_key(url: Column | str) -> Column:
@@ -82,7 +97,11 @@ def canonical_key(url: Column | str) -> Column:
 
 def resolve(base: Column, reference: Column | str) -> Column:
     """The parsed URL that a reference means on a parsed base; the base where the reference cannot be parsed."""
-    r = col(reference)
+    return let(F.struct(base.alias("base"), col(reference).alias("reference")), lambda x: let(_target(x.base, x.reference), lambda t: F.when(x.reference == "", x.base).otherwise(F.coalesce(url_parse(t), x.base))))
+
+
+def _target(base: Column, r: Column) -> Column:
+    """The absolute text that a reference means."""
     before = F.substring_index(r, "#", 1)
     fragment = F.when(F.contains(r, F.lit("#")), F.substr(r, F.instr(r, "#") + 1)).otherwise("")
     path = F.substring_index(before, "?", 1)
@@ -96,8 +115,7 @@ def resolve(base: Column, reference: Column | str) -> Column:
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
         F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
     )
-    whole = F.when(F.contains(r, F.lit("://")), r).when(F.startswith(r, F.lit("//")), F.concat(base["scheme"], F.lit(":"), r)).otherwise(rebuilt)
-    return F.when(r == "", base).otherwise(F.coalesce(url_parse(whole), base))
+    return F.when(F.contains(r, F.lit("://")), r).when(F.startswith(r, F.lit("//")), F.concat(base["scheme"], F.lit(":"), r)).otherwise(rebuilt)
 
 
 def resolve_key(base: Column | str, reference: Column | str) -> Column:
