@@ -104,15 +104,17 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     if not pairs:
         return np.zeros(0, int)
     n, m = max(len(a) for a, _ in pairs), max(len(b) for _, b in pairs)
-    a, b = np.zeros((len(pairs), n), np.uint64), np.ones((len(pairs), m), np.uint64)
+    a, b = np.zeros((len(pairs), n), np.uint64), np.zeros((len(pairs), m), np.uint64)
     for i, (x, y) in enumerate(pairs):
         a[i, : len(x)], b[i, : len(y)] = x, y
+    real = np.arange(m) < np.array([len(y) for _, y in pairs])[:, None]  # padding matches nothing
+    whole = np.arange(n) < np.array([len(x) for x, _ in pairs])[:, None]
     best = np.zeros(len(pairs), np.int32)
     # H of the two last anti-diagonals, indexed by the item's position (0: before it).
     two, one = np.zeros((len(pairs), n + 1), np.int32), np.zeros((len(pairs), n + 1), np.int32)
     for d in range(n + m - 1):
         i = np.arange(max(0, d - m + 1), min(n, d + 1))
-        score = np.where(a[:, i] == b[:, d - i], MATCH, MISMATCH)
+        score = np.where((a[:, i] == b[:, d - i]) & whole[:, i] & real[:, d - i], MATCH, MISMATCH)
         now = np.zeros_like(one)
         now[:, i + 1] = np.maximum(0, np.maximum(two[:, i] + score, np.maximum(one[:, i], one[:, i + 1]) + GAP))
         best = np.maximum(best, now.max(1))

@@ -84,11 +84,11 @@ def mix(documents: DataFrame, levels: tuple[str, ...] = LEVELS, weights: dict =
     through = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranges = sums.join(plan, keys).withColumn("_end", F.sum("_sum").over(through)).withColumn("_start", F.col("_end") - F.col("_sum")).select(*keys, "_bucket", "_whole", "_rest", "_start", "_end")
     placed = rows.join(ranges, [*keys, "_bucket"])
-    inside = placed.filter(F.col("_end") <= F.col("_rest")).withColumn("copies", F.col("_whole") + 1)
+    inside = placed.filter(F.col("_end") <= F.col("_rest")).withColumn("copies", F.least(F.col("_whole") + 1, F.lit(epochs)))
     outside = placed.filter((F.col("_start") >= F.col("_rest")) & (F.col("_end") > F.col("_rest")) & (F.col("_whole") > 0)).withColumn("copies", F.col("_whole"))
     within = Window.partitionBy(*keys, "_bucket").orderBy("_order", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = placed.filter((F.col("_start") < F.col("_rest")) & (F.col("_end") > F.col("_rest"))).withColumn("_until", F.col("_start") + F.sum("n_tokens").over(within))
-    cut = cut.withColumn("copies", F.col("_whole") + F.when(F.col("_until") <= F.col("_rest"), 1).otherwise(0)).filter("copies > 0").drop("_until")
+    cut = cut.withColumn("copies", F.least(F.col("_whole") + F.when(F.col("_until") <= F.col("_rest"), 1).otherwise(0), F.lit(epochs))).filter("copies > 0").drop("_until")
     taken = inside.unionByName(outside).unionByName(cut)
     return taken.select(*documents.columns, "n_tokens", "copies")
 
@@ -130,7 +130,7 @@ leaf AS (SELECT domain, lang, source, sum(n_tokens) AS supply, floor(sum(sum(n_t
 {_level_sql(0, "leaf")},{_level_sql(1, "b0")},{_level_sql(2, "b1")},
 p AS (SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS whole FROM b2),
 c AS (SELECT doc_id, domain, lang, source, n_tokens, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, text ROWS UNBOUNDED PRECEDING) AS until FROM r)
-SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(whole + CASE WHEN until <= budget - whole * supply THEN 1 ELSE 0 END AS INT) AS copies
+SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(least(whole + CASE WHEN until <= budget - whole * supply THEN 1 ELSE 0 END, {EPOCHS}) AS INT) AS copies
 FROM c JOIN p USING (domain, lang, source) WHERE whole + CASE WHEN until <= budget - whole * supply THEN 1 ELSE 0 END > 0
 """
 

@@ -43,7 +43,7 @@ def indicators(texts: pa.Array) -> Iterator[np.ndarray]:
     repeats = []
     for k in range(8):
         history = history << np.uint64(1)
-        history[k:] |= same[: len(same) - k] if k else same
+        history[k:] |= same[: max(len(same) - k, 0)]
         repeats.append(np.where(history > 1 << k + 1, mix(history ^ np.uint64(0xA5A5 << 16)) >> shift, 0).astype(np.int64))
     rate = np.add.reduceat(np.append(same, 0), words.ptr[:-1]) * (np.diff(words.ptr) > 0) / np.maximum(np.diff(words.ptr), 1)
     flags = np.zeros(1 << BITS, bool)
