@@ -132,17 +132,22 @@ def payload_of(text: bytes) -> bytes:
 
 
 def store(texts: DataFrame) -> DataFrame:
-    """digest and media of every distinct text, written to the shared folder and read back. texts: digest, text."""
-    one = texts.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    kept = texts.join(one, ["digest", "doc_id"], "left_semi").select("digest", "text")
+    """digest and media of every distinct text, written to the shared folder and read back. texts: digest, text.
+
+    A task stores a digest once; copies in other tasks store the same bytes again, which costs less than to shuffle
+    all texts, and `features` keeps one row of each digest.
+    """
 
     def run(batches):
+        seen: set[str] = set()
         for batch in batches:
             for part in slices(batch):
-                media = [encode_png(payload_of((t or "").encode())) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(media, pa.binary())], ["digest", "media"])
+                rows = {d: t for d, t in zip(part.column("digest").to_pylist(), part.column("text").to_pylist(), strict=True) if d not in seen}
+                seen.update(rows)
+                media = [encode_png(payload_of((t or "").encode())) for t in rows.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    return written(kept.mapInArrow(run, "digest string, media binary"), "media")
+    return written(texts.select("digest", "text").mapInArrow(run, "digest string, media binary"), "media")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -160,7 +165,7 @@ def features(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     out = media.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return out.dropDuplicates(["digest"])  # repeated rows of one doc_id
+    return out.dropDuplicates(["digest"])
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
