@@ -21,10 +21,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,18 +35,32 @@ from .common import slices, small_batches, table, texts_of, written
 BLOCK, PERCENTILE, CACHED = 256, 90, 800_000
 END_ID = 2
 END = END_ID.to_bytes(4, "little")
+#: The cut at white space that the tokenizer makes.
 PRE_TOKEN = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Fixed value: the byte-level tokenizer's own cut of a text into words.
+PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words of these characters are cut as above; tables of other characters may differ, so other words go in one piece.
+PLAIN = re.compile("[ !-~\xa1-\u024f]+")
+#: A part that holds no white space but one space before it.
+ONE = re.compile(r" ?[^\s\x1c-\x1f]+")
+#: A word that is one part.
+LETTERS = re.compile("[ ]?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Texts that may hold a special token, or white space on which the cuts could differ, go to the library whole.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
+#: Other texts are cut at each space and line feed, unless they hold other white space or runs of it.
+UNEVEN = r"[ \n]{2}|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
 #: Words that go to the library as one text; longer texts take it more time a word.
 TOGETHER = 64
+#: Bytes of text that are cut and looked up at a time.
+SLICE_BYTES = 1 << 22
 SEGMENT_SCHEMA = "range int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<int>, bytes binary"
 
 
 class Encoder:
-    """Ids of texts: pre-tokens come from a bounded cache, which the tokenizers library fills.
+    """Ids of texts: words come from a bounded cache, which the tokenizers library fills.
 
-    The cut is the one at white space that the tokenizer makes itself; texts with characters on which the two could
-    differ, or with what may be a special token, go to the library whole.
+    Arrow cuts a slice of texts and numbers its distinct words; each distinct word is looked up once, and the ids of
+    all texts are gathered by number.
     """
 
     def __init__(self, path: str):
@@ -56,28 +71,69 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-        (self.line_feed,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = self._whole("\n")
+        (self.line_feed,) = np.frombuffer(self.line, "<u4")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """uint32 ids of each text with the end id."""
         if len(self.cache) > CACHED:
             self.cache.clear()
-        split = [None if ODD.search(t) else PRE_TOKEN.findall(t) for t in texts]
-        here = set(chain.from_iterable(x for x in split if x))
-        self._learn(here.difference(self.cache))
-        # A small table of this batch's own words stays in the processor's cache.
-        near = dict(zip(here, map(self.cache.__getitem__, here), strict=True))
-        get, out = near.__getitem__, []
-        for t, parts in zip(texts, split, strict=True):
-            ids = np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if parts is None else b"".join(map(get, parts))
-            out.append(np.frombuffer(ids + END, "<u4"))
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        out = self._even(pc.if_else(uneven, "", texts))
+        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
+            t = texts[i].as_py()
+            if ODD.search(t):
+                ids = self._whole(t)
+            else:
+                words = PRE_TOKEN.findall(t)
+                self._learn(set(words).difference(self.cache))
+                ids = b"".join(map(self.cache.__getitem__, words))
+            out[i] = np.frombuffer(ids + END, "<u4")
         return out
 
+    def _even(self, texts: pa.Array) -> list[np.ndarray]:
+        """Texts whose white space is single spaces and line feeds: cut into lines, and these into words."""
+        lines = pc.split_pattern(texts, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        text_ends, line_ends = (x.offsets.to_numpy()[1:] - x.offsets[0].as_py() for x in (lines, words))
+        numbered = words.flatten().dictionary_encode()
+        # A word that does not begin its line has its space before it.
+        slot = numbered.indices.to_numpy().astype(np.int64) * 2
+        slot[np.concatenate([[0], line_ends[:-1]])[: len(line_ends)]] += 1
+        present = np.zeros(2 * len(numbered.dictionary), bool)
+        present[slot] = True
+        used, names = np.flatnonzero(present), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        keys = [names[k >> 1] if k & 1 else " " + names[k >> 1] for k in used.tolist()]
+        self._learn({k for k in keys if k not in self.cache})
+        found = [*map(self.cache.__getitem__, keys), self.line, END]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), "<u4")
+        after = np.full(len(line_ends), len(used))
+        after[text_ends - 1] = len(used) + 1
+        entry = np.insert((np.cumsum(present) - 1)[slot], line_ends, after)
+        many = lengths[entry]
+        stop = np.cumsum(many)
+        ids = flat[np.repeat(starts[entry] - stop + many, many) + np.arange(int(many.sum()))]
+        # Copies, so that a text kept does not keep the slice.
+        return [x.copy() for x in np.split(ids, stop[line_ends[text_ends - 1] + text_ends - 1][:-1])] if len(texts) else []
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def _learn(self, missing: set[str]) -> None:
-        """Words are encoded in one text, a line feed after each; white space one by one."""
-        words = [p for p in missing if not p.isspace()]
-        for p in missing.difference(words):
-            self.cache[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        """Words are cut into parts, which other words share; new parts are encoded."""
+        whole = {w for w in missing if LETTERS.fullmatch(w) or not PLAIN.fullmatch(w)}
+        cut = [(w, PART.findall(w)) for w in missing.difference(whole)]
+        self._encode(whole | {p for _, found in cut for p in found}.difference(self.cache))
+        for w, found in cut:
+            if len(found) != 1:
+                self.cache[w] = b"".join(map(self.cache.__getitem__, found))
+
+    def _encode(self, parts: set[str]) -> None:
+        """Parts without inner white space are encoded in one text, a line feed after each; others one by one."""
+        words = [p for p in parts if ONE.fullmatch(p)]
+        for p in parts.difference(words):
+            self.cache[p] = self._whole(p)
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, found in zip(groups, self.library.encode_batch_fast(["\n".join(g) + "\n" for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
@@ -108,43 +164,60 @@ def pack(ids: np.ndarray) -> bytes:
         low = values.min(1)
         rest = values - low[:, None]
         at = min(size - 1, (size * PERCENTILE + 99) // 100 - 1)
-        width = np.array([int(v).bit_length() for v in np.partition(rest, at, 1)[:, at]], np.uint8)
-        for w in np.unique(width):
+        width = np.frexp(np.partition(rest, at, 1)[:, at].astype(float))[1]
+        for w in np.unique(width).tolist():
             some = np.flatnonzero(width == w)
-            v = rest[some]
+            v = np.ascontiguousarray(rest[some], "<u4")
             over = v >> np.uint32(w) > 0 if w < 32 else np.zeros(v.shape, bool)
-            bits = ((v[:, :, None] >> np.arange(int(w), dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+            bits = np.unpackbits(v.view(np.uint8).reshape(len(some), size, 4), axis=2, count=w, bitorder="little") if w else np.zeros((len(some), 0), np.uint8)
             packed = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
-            for i, b in enumerate(some):
-                where = np.flatnonzero(over[i])
-                parts[rows[b]] = struct.pack("<IBHH", low[b], w, size, len(where)) + packed[i].tobytes() + where.astype("<u2").tobytes() + v[i, where].astype("<u4").tobytes()
+            places, values_over, until = np.nonzero(over)[1].astype("<u2").tobytes(), v[over].tobytes(), np.cumsum(over.sum(1)).tolist()
+            before = 0
+            for row, least, data, end in zip(rows[some].tolist(), low[some].tolist(), packed, until, strict=True):
+                parts[row] = struct.pack("<IBHH", least, w, size, end - before) + data.tobytes() + places[2 * before : 2 * end] + values_over[4 * before : 4 * end]
+                before = end
     starts = np.cumsum([12 + 4 * (blocks + 1), *map(len, parts)]).astype("<u4")
     return struct.pack("<III", n, 0, blocks) + starts.tobytes() + b"".join(parts)
 
 
-def unpack_block(segment: bytes, block: int) -> np.ndarray:
-    """The ids of one block, found by the index."""
-    start, end = struct.unpack_from("<II", segment, 12 + 4 * block)
-    low, w, size, many = struct.unpack_from("<IBHH", segment, start)
-    at = start + 9
+def _blocks(segment: bytes, start: np.ndarray, heads: np.ndarray, w: int, size: int) -> np.ndarray:
+    """The ids of blocks of one width and size that start at these bytes, one row each; heads: minimum, exceptions."""
     length = (size * w + 7) // 8
+    v = np.zeros((len(start), size), "<u4")
     if w:
-        bits = np.unpackbits(np.frombuffer(segment, np.uint8, length, at), count=size * w, bitorder="little").reshape(size, w)
-        wide = np.zeros((size, 32), np.uint8)
-        wide[:, :w] = bits
-        v = np.packbits(wide, axis=1, bitorder="little").view("<u4")[:, 0].copy()
-    else:
-        v = np.zeros(size, np.uint32)
-    at += length
-    v[np.frombuffer(segment, "<u2", many, at)] = np.frombuffer(segment, "<u4", many, at + 2 * many)
-    if at + 6 * many != end:
+        data = np.frombuffer(segment, np.uint8)[start[:, None] + 9 + np.arange(length)]
+        wide = np.zeros((len(start), size, 32), np.uint8)
+        wide[:, :, :w] = np.unpackbits(data, axis=1, count=size * w, bitorder="little").reshape(len(start), size, w)
+        v = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0].copy()
+    for row, at, many in zip(v, (start + 9 + length).tolist(), heads[:, 1].tolist(), strict=True):
+        if many:
+            row[np.frombuffer(segment, "<u2", many, at)] = np.frombuffer(segment, "<u4", many, at + 2 * many)
+    return v + heads[:, :1].astype("<u4")
+
+
+def _read_blocks(segment: bytes, first: int, last: int) -> np.ndarray:
+    bounds = np.frombuffer(segment, "<u4", last - first + 1, 12 + 4 * first).astype(np.int64)
+    heads = np.array([struct.unpack_from("<IBHH", segment, at) for at in bounds[:-1].tolist()], np.int64).reshape(-1, 4)
+    low_many, w, size = heads[:, [0, 3]], heads[:, 1], heads[:, 2]
+    if (bounds[:-1] + 9 + (size * w + 7) // 8 + 6 * heads[:, 3] != bounds[1:]).any():
         raise ValueError("a block of token ids is damaged")
-    return v + np.uint32(low)
+    out: list[np.ndarray | None] = [None] * len(w)
+    for kind in np.unique(w * 65536 + size).tolist():
+        some = np.flatnonzero(w * 65536 + size == kind)
+        for i, ids in zip(some.tolist(), _blocks(segment, bounds[some], low_many[some], kind >> 16, kind & 65535), strict=True):
+            out[i] = ids
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def unpack_block(segment: bytes, block: int) -> np.ndarray:
+    """The ids of one block, found by the index."""
+    return _read_blocks(segment, block, block + 1)
 
 
 def unpack(segment: bytes) -> np.ndarray:
+    """All ids of a segment."""
     n, _, blocks = struct.unpack_from("<III", segment)
-    out = np.concatenate([unpack_block(segment, b) for b in range(blocks)]) if blocks else np.zeros(0, np.uint32)
+    out = _read_blocks(segment, 0, blocks)
     if len(out) != n:
         raise ValueError("a segment of token ids is damaged")
     return out
@@ -169,8 +242,8 @@ def write(documents: DataFrame, path: str, segment_ids: int = 1 << 18) -> DataFr
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT_ARROW)
 
         for batch in batches:
-            for part in slices(batch):
-                for doc, x in zip(part.column("doc_id").to_pylist(), encoder.encode(texts_of(part).to_pylist()), strict=True):
+            for part in slices(batch, most=SLICE_BYTES):
+                for doc, x in zip(part.column("doc_id").to_pylist(), encoder.encode(texts_of(part)), strict=True):
                     ids.append(x)
                     docs.append(doc)
                     total += len(x)
