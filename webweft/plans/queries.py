@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.functions import detect, extract, paths, urls
-from webweft.operators import events, state
+from webweft.operators import events, json_walk, report, state
 from webweft.plans.crawl import crawl_depths
 
 
@@ -100,7 +100,52 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_depths(spark.createDataFrame([("r0",), ("r1",)], "url string"), edges, 3)
 
 
-QUERIES = {f.__name__: f for f in (url_components, url_resolve_links, out_links_by_host, local_path, detect_site_kind, js_urls, robots, css_refs, frontier_enqueue, visited_upsert, errors_latest, circuit_breaker, in_flight, crawl_bfs)}
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    body = F.format_string('{"items": [{"url": "/p/%d"}, {"image": "i%d.png", "n": 3}], "next": "/list?page=%d", "page": %d, "total_pages": %d}', d, d, d % 5 + 1, d % 4 + 1, d % 6)
+    return _read(spark, sf_dir, "documents").select(d.alias("id"), body.alias("body"), F.lit("http://h.example/list?page=2").alias("source"))
+
+
+def json_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_walk.json_urls(json_walk.leaves(_json(spark, sf_dir)))
+
+
+def json_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = _json(spark, sf_dir)
+    return json_walk.json_pages(json_walk.leaves(bodies), bodies, 4)
+
+
+def html_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.format_string("<a data-page=\"3\"></a><a data-page='1'></a><a data-page=\"9999\"></a><a data-page-number=\"%d\"></a>", F.col("page_id") % 7)
+    rows = _read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*", "").alias("url"), F.explode(extract.page_numbers(html, 4)).alias("page"))
+    return rows.select("page_id", "page", urls.with_page(urls.url_parse("url"), F.col("page")).alias("link"))
+
+
+def runtime_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_resolve_links(spark, sf_dir)
+    found = found.select("page_id", F.concat("target", F.element_at(F.array(F.lit("/API/x"), F.lit("?page=2"), F.lit(".png")), F.col("position") % 3 + 1)).alias("url"))
+    anchors = F.col("page_id") % 5
+    return report.runtime_signals(found, "page_id", "url").withColumns({"added": report.uplift(anchors), "kind": report.uplifted_kind(F.lit(2), anchors)})
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("page", "asset", "error", "skipped")))
+    return _read(spark, sf_dir, "events").select(F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")).alias("outcome"), F.unix_timestamp("ts").alias("at"))
+
+
+def outcome_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counters(_outcomes(spark, sf_dir))
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of mappings, read back from its text."""
+    mappings = _read(spark, sf_dir, "pages").select("url", F.col("page_id").cast("string").alias("path"))
+    text = report.manifest(_outcomes(spark, sf_dir), mappings, {"depth": "2"})
+    m = F.from_json("manifest", "config map<string,string>, files array<struct<url string, path string>>, mapped long").alias("m")
+    return text.select(m).select(F.col("m.config")["depth"].alias("depth"), "m.mapped", F.explode("m.files").alias("f")).select("depth", "mapped", "f.url", "f.path")
+
+
+QUERIES = {f.__name__: f for f in (url_components, url_resolve_links, out_links_by_host, local_path, detect_site_kind, js_urls, robots, css_refs, frontier_enqueue, visited_upsert, errors_latest, circuit_breaker, in_flight, crawl_bfs, json_urls, json_paging, html_paging, runtime_signals, outcome_counters, manifest_files)}
 
 _PARTS = """p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
   regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS raw, regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages),
@@ -110,6 +155,19 @@ _LINKS = """a AS (SELECT page_id, origin, regexp_extract_all(html, '<a href="([^
 l AS (SELECT page_id, origin, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS position FROM a)"""
 
 ORACLE_SQL = {
+    "json_urls": """SELECT doc_id AS id, CAST(i - 1 AS INT) AS position, ['/p/' || doc_id, 'i' || doc_id || '.png', '/list?page=' || (doc_id % 5 + 1)][i] AS url FROM documents, range(1, 4) r(i)""",
+    "json_paging": """WITH p AS (SELECT doc_id AS id, 0 AS n, '/list?page=' || (doc_id % 5 + 1) AS url FROM documents
+  UNION ALL SELECT doc_id, n, 'http://h.example/list?page=' || n FROM documents, range(1, 5) r(n) WHERE doc_id % 6 > 1 AND n <= doc_id % 6 AND n <> doc_id % 4 + 1)
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS INT) AS position, url FROM p""",
+    "html_paging": f"""WITH {_PARTS} SELECT page_id, CAST(n AS INT) AS page, origin || path || '?page=' || n AS link FROM q, range(1, 5) r(n) WHERE n IN (1, 3) OR n = page_id % 7""",
+    "runtime_signals": f"""WITH {_PARTS}, {_LINKS}, u AS (SELECT page_id, lower(origin || href || ['/API/x', '?page=2', '.png'][position % 3 + 1]) AS url FROM l),
+c AS (SELECT page_id, count(*) FILTER (regexp_matches(url, '/api/|graphql|[.]json|format=json')) AS api, count(*) FILTER (regexp_matches(url, 'page=|cursor=|/page/')) AS paging,
+  count(*) FILTER (regexp_matches(url, '[.](jpe?g|png|webp|gif|svg)')) AS media, count(*) AS discovered FROM u GROUP BY page_id),
+s AS (SELECT *, CAST(3 * (api > 0)::INT + 2 * (paging > 0)::INT + (media >= 4 AND discovered > page_id % 5 + 2)::INT + (discovered >= 8 AND discovered > page_id % 5 + 4)::INT AS INT) AS added FROM c)
+SELECT *, CASE WHEN added >= 5 THEN 'dynamic' WHEN added >= 2 THEN 'hybrid' ELSE 'static' END AS kind FROM s""",
+    "outcome_counters": """WITH c AS (SELECT list_count([x FOR x IN list(event_id % 4) IF x = 0]) AS pages, count(*) FILTER (event_id % 4 = 1) AS assets, count(*) FILTER (event_id % 4 = 2) AS errors,
+  count(*) FILTER (event_id % 4 = 3) AS skipped, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS elapsed FROM events) SELECT *, pages + assets AS total_files FROM c""",
+    "manifest_files": """SELECT '2' AS depth, (SELECT count(*) FROM pages) AS mapped, url, CAST(page_id AS VARCHAR) AS path FROM pages ORDER BY url, CAST(page_id AS VARCHAR) LIMIT 100""",
     "url_components": f"WITH {_PARTS} SELECT page_id, scheme, host, CAST(CASE scheme WHEN 'http' THEN 80 ELSE 443 END AS INT) AS port, path, query, fragment, canonical, origin FROM q",
     "url_resolve_links": f"WITH {_PARTS}, {_LINKS} SELECT page_id, CAST(position AS INT) AS position, 'a' AS tag, href, origin || href AS target FROM l",
     "out_links_by_host": f"WITH {_PARTS}, {_LINKS} SELECT regexp_extract(origin, '://(.*)', 1) AS host, count(DISTINCT origin || href) AS targets, count(*) AS links FROM l GROUP BY 1",
