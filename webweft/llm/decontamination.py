@@ -1,19 +1,22 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, then Smith-Waterman alignment.
 
-Seeds are word GRAM-grams of the test items. One pass over all documents counts in how many documents each seed
-stands; of every STRETCH seeds in a row an item keeps the KEEP rarest, so that every part of an item stays reachable
-and frequent phrases join nothing. A second pass finds the kept seeds in each document, groups hits of an item that lie
-near one diagonal into passages, and aligns the whole item with each passage (words; match 2, mismatch -1, gap -1).
-The best score of an item in a document, divided by the item's perfect score, is reported from LEAST on.
-
-The test set is broadcast in chunks of at most ITEM_WORDS words, each a proven bound; documents are never shuffled.
-
-Defined cases: null and empty texts and items match nothing; items shorter than GRAM words are seeded whole; repeated
-items each get their own rows; repeated documents each get their own rows; an empty test set gives an empty result.
+An alignment (words; match 2, mismatch -1, gap -1) that reaches LEAST of an item's perfect score has a least number of
+word pairs in a row in common with the item, and spans a bounded number of words (`Bounds`). One pass over all
+documents counts in how many documents each pair stands; an item's most frequent pairs, at most half of what that
+number allows, are not used as seeds and the number is lowered by as many. A second pass finds in each document the windows of the
+greatest span with that many seeds of an item, joins those that overlap into passages and aligns the whole item with
+each. No alignment from LEAST on is lost. The best score of an item in a document, divided by the item's perfect score, is reported.
+
+The test set is broadcast in chunks of at most ITEM_WORDS words; documents are never shuffled.
+
+Defined cases: null and empty texts and items match nothing; items so short that pairs prove nothing are seeded by
+single words; repeated items each get their own rows; repeated documents each get their own rows; an empty test set
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,49 +28,73 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, table, texts_of
 from .textvec import Words
 
-GRAM, STRETCH, KEEP = 3, 6, 3
+GRAM = 2
 ITEM_WORDS = 2_000_000
+#: Seed hits held at a time; more are found in parts.
+HITS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.6
 
 
+@dataclass
+class Bounds:
+    """What any alignment of score S = least x 2 x words of the item must have.
+
+    With m matches and e mismatches and gaps, 2m - e >= S and m <= the item's words. It spans at most m + e <= 3m - S
+    words of the document, and has at least m - e - 1 >= S - m - 1 pairs of matches in a row, or m >= S / 2 matches.
+    """
+
+    gram: int
+    need: int
+    span: int
+
+    @staticmethod
+    def of(size: int, least: float) -> Bounds:
+        score = least * MATCH * size - 1e-9
+        pairs = math.ceil(score) - size - 1
+        gram = GRAM if pairs >= 1 else 1
+        return Bounds(gram, max(1, pairs if gram == GRAM else math.ceil(score / MATCH)), 3 * size - math.ceil(score))
+
+
 @dataclass
 class Items:
-    """Test items as word hashes, and seeds sorted by hash: item and place of each."""
+    """Test items as word hashes with their bounds, and seeds sorted by hash: item and place of each."""
 
     ids: list
     words: list[np.ndarray]
+    gram: np.ndarray
+    need: np.ndarray
+    span: np.ndarray
     seed: np.ndarray
     item: np.ndarray
     place: np.ndarray
 
-    @property
-    def seeds_of(self) -> np.ndarray:
-        """How many seeds each item has."""
-        return np.bincount(self.item, minlength=len(self.words))
-
     @staticmethod
-    def of(rows: list[tuple]) -> Items:
-        rows = [(i, t) for i, t in rows if t and t.strip()]
-        words = Words(pc.utf8_lower(pa.array([t for _, t in rows], pa.large_string())), plain=True)
-        per = [words.hashes[a:b] for a, b in zip(words.ptr, words.ptr[1:], strict=False)]
-        seeds = [_seeds(w) for w in per]
+    def of(rows: list[tuple], least: float = LEAST) -> Items:
+        words = Words(pc.utf8_lower(pa.array([t or "" for _, t in rows], pa.large_string())), plain=True)
+        per = [(i, words.hashes[a:b]) for (i, _), a, b in zip(rows, words.ptr, words.ptr[1:], strict=False) if b > a]
+        bounds = [Bounds.of(len(w), least) for _, w in per]
+        seeds = [_seeds(w, b.gram) for (_, w), b in zip(per, bounds, strict=True)]
         seed = np.concatenate([*seeds, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(per)), [len(s) for s in seeds])
         place = np.concatenate([*(np.arange(len(s)) for s in seeds), np.zeros(0, int)]).astype(np.int64)
         order = np.argsort(seed, kind="stable")
-        return Items([i for i, _ in rows], per, seed[order], item[order], place[order])
+        gram, need, span = (np.array([getattr(b, f) for b in bounds], np.int64) for f in ("gram", "need", "span"))
+        return Items([i for i, _ in per], [w for _, w in per], gram, need, span, seed[order], item[order], place[order])
 
     def rare(self, df: dict[int, int]) -> Items:
-        """Only the KEEP rarest seeds of every STRETCH in a row."""
+        """Without each item's most frequent seeds, at most half of what its need allows; the need falls by as many."""
         count = np.array([df.get(int(s.astype(np.int64)), 0) for s in self.seed], np.int64)
-        keep = np.zeros(len(self.seed), bool)
-        order = np.lexsort((self.place, count, self.place // STRETCH, self.item))
-        key = self.item[order] * (1 << 32) + self.place[order] // STRETCH
-        fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0)) if len(key) else np.zeros(0, int)
-        keep[order[np.arange(len(key)) - start < KEEP]] = True
-        return Items(self.ids, self.words, self.seed[keep], self.item[keep], self.place[keep])
+        drop = (self.need - 1) // 2
+        order = np.lexsort((self.place, -count, self.item))
+        rank = np.arange(len(order)) - np.searchsorted(self.item[order], self.item[order])
+        keep = np.ones(len(order), bool)
+        keep[order] = rank >= drop[self.item[order]]
+        return self.part(keep, self.need - drop)
+
+    def part(self, keep: np.ndarray, need: np.ndarray | None = None) -> Items:
+        """With some of the seeds."""
+        return Items(self.ids, self.words, self.gram, self.need if need is None else need, self.span, self.seed[keep], self.item[keep], self.place[keep])
 
 
 def _seeds(w: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -80,23 +107,12 @@ def _seeds(w: np.ndarray, n: int = GRAM) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def _hits(items: Items, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(seed number, place in w) of all seed hits in a document's words, for seeds of any length in use."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in range(1, GRAM + 1):
-        h = _seeds(w, n) if len(w) >= n else np.zeros(0, np.uint64)
-        if n < GRAM and not any(len(x) == n for x in items.words):
-            continue
-        low, high = np.searchsorted(items.seed, h, "left"), np.searchsorted(items.seed, h, "right")
-        many = high - low
-        at = np.flatnonzero(many)
-        if len(at):
-            place = np.repeat(at, many[at])
-            number = np.arange(len(place)) - np.repeat(np.cumsum(many[at]) - many[at], many[at]) + np.repeat(low[at], many[at])
-            found.append((number, place))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+def _grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n words in a row of one document, and their first words' numbers."""
+    if len(hashes) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    at = np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1])
+    return _seeds(hashes, n)[at], at
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -122,26 +138,79 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best
 
 
-def passages(items: Items, w: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the passages in a document's words to which seed hits lead."""
-    number, place = _hits(items, w)
-    if not len(number):
+def _first_hits(items: Items, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first number, count, word) for each word of the documents at which seeds begin: a range of seed numbers."""
+    found = []
+    for n in np.unique(items.gram):
+        h, at = _grams(hashes, doc, int(n))
+        low = np.searchsorted(items.seed, h, "left")
+        some = np.flatnonzero(items.seed[np.minimum(low, len(items.seed) - 1)] == h) if len(items.seed) else np.zeros(0, int)
+        found.append((low[some], np.searchsorted(items.seed, h[some], "right") - low[some], at[some]))
+    low, many, at = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in range(3))
+    order = np.argsort(at, kind="stable")
+    return low[order], many[order], at[order]
+
+
+def passages(items: Items, hashes: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, item, start, end) of the passages, in words of all documents, that may hold an alignment.
+
+    hashes: words of all documents; ptr: where each document's words begin, and the end.
+    """
+    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    low, many, at = _first_hits(items, hashes, doc)
+    if not len(at):
         return []
-    item, start = items.item[number], place - items.place[number]
-    order = np.lexsort((start, item))
-    item, start, number = item[order], start[order], number[order]
-    out, at, seeds_of = [], 0, items.seeds_of
-    while at < len(item):
-        k, size = item[at], len(items.words[item[at]])
-        end = at + 1
-        while end < len(item) and item[end] == k and start[end] - start[end - 1] <= max(3, size // 3):
-            end += 1
-        # An edited copy keeps several seeds; short items have few.
-        if len(np.unique(number[at:end])) >= min(2, seeds_of[k]):
-            pad = size // 3 + 2
-            out.append((int(k), max(0, int(start[at]) - pad), min(len(w), int(start[end - 1]) + size + pad)))
-        at = end
-    return out
+    if many.sum() > HITS and doc[at[0]] != doc[at[-1]]:
+        middle = (doc[at[0]] + doc[at[-1]]) // 2
+        if not np.any(doc[at] == middle):
+            middle = doc[at[doc[at] < middle][-1]]
+        cut = int(ptr[middle + 1])
+        first = passages(items, hashes[:cut], ptr[: middle + 2])
+        second = passages(items, hashes[cut:], ptr[middle + 1 :] - cut)
+        return first + [(d + middle + 1, k, s + cut, e + cut) for d, k, s, e in second]
+    if many.sum() > HITS and items.item.min() != items.item.max():
+        middle = (items.item.min() + items.item.max()) // 2
+        return passages(items.part(items.item <= middle), hashes, ptr) + passages(items.part(items.item > middle), hashes, ptr)
+    number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    at = np.repeat(at, many)
+    pair = doc[at] * len(items.words) + items.item[number]
+    order = np.argsort(pair, kind="stable")  # places stay in order
+    pair, at, number = pair[order], at[order], number[order]
+    # Pairs with too few distinct places of the item can hold nothing.
+    by_place = np.lexsort((number, pair))
+    fresh = np.append(True, (np.diff(pair[by_place]) != 0) | (np.diff(number[by_place]) != 0))
+    _, group = np.unique(pair, return_inverse=True)
+    distinct = np.bincount(group[by_place][fresh])
+    enough = distinct[group] >= items.need[items.item[number]]
+    pair, at, number, group = pair[enough], at[enough], number[enough], group[enough]
+    if not len(at):
+        return []
+    item = items.item[number]
+    need, span, gram = items.need[item], items.span[item], items.gram[item]
+    # A hit that begins an alignment has enough hits in the span from it on.
+    line = group * (2 * len(hashes) + 3 * int(items.span.max()) + 4) + at
+    until = np.searchsorted(line, line + span - gram, "right")
+    out: list[tuple[int, int, int, int]] = []
+    for i in np.flatnonzero(until - np.arange(len(line)) >= need).tolist():
+        if len(set(number[i : until[i]].tolist())) < need[i]:
+            continue
+        d, k, reach = int(doc[at[i]]), int(item[i]), int(span[i])
+        # The alignment holds this hit and the one that completes the need, so it lies in reach of both.
+        start, end = max(int(ptr[d]), int(at[i + need[i] - 1] + gram[i]) - reach), min(int(ptr[d + 1]), int(at[i]) + reach)
+        if out and out[-1][:2] == (d, k) and start < out[-1][3]:
+            out[-1] = (d, k, min(start, out[-1][2]), max(end, out[-1][3]))
+        else:
+            out.append((d, k, start, end))
+    return [x for x in out if _may_reach(items, x, hashes)]
+
+
+def _may_reach(items: Items, found: tuple[int, int, int, int], hashes: np.ndarray) -> bool:
+    """Whether some span of the passage has as many words of the item as the matches of an alignment (half its score)."""
+    _, k, start, end = found
+    w, need = items.words[k], -(-(3 * len(items.words[k]) - int(items.span[k])) // MATCH)
+    same = np.concatenate([[0], np.cumsum(np.isin(hashes[start:end], w))])
+    reach = min(int(items.span[k]), end - start)
+    return bool((same[reach:] - same[: len(same) - reach]).max() >= need)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
@@ -152,7 +221,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> D
     out = None
     for c in range(max(1, chunks)):
         part = rows if chunks <= 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c)
-        found = _leaks_of(documents, Items.of([tuple(r) for r in part.collect()]), least)
+        found = _leaks_of(documents, Items.of([tuple(r) for r in part.collect()], least), least)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -160,17 +229,19 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> D
 def _leaks_of(documents: DataFrame, items: Items, least: float) -> DataFrame:
     sc = documents.sparkSession.sparkContext
     texts = documents.select("doc_id", "text")
-    every = sc.broadcast(np.unique(items.seed))
+    every, lengths = sc.broadcast(np.unique(items.seed)), np.unique(items.gram).tolist()
 
     def count(batches):
         total = np.zeros(len(every.value), np.int64)
         for batch in batches:
             for part in slices(batch):
                 words = Words(pc.utf8_lower(texts_of(part)), plain=True)
-                for a, b in zip(words.ptr, words.ptr[1:], strict=False):
-                    h = _seeds(words.hashes[a:b])
+                doc = np.repeat(np.arange(len(part)), np.diff(words.ptr))
+                for n in lengths:
+                    h, first = _grams(words.hashes, doc, n)
                     at = np.minimum(np.searchsorted(every.value, h), len(total) - 1)
-                    total[np.unique(at[every.value[at] == h])] += 1
+                    same = every.value[at] == h
+                    total += np.bincount(np.unique(doc[first[same]] * len(total) + at[same]) % len(total), minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(every.value[seen].astype(np.int64)), pa.array(total[seen])], ["seed", "n"])
 
@@ -182,15 +253,15 @@ def _leaks_of(documents: DataFrame, items: Items, least: float) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words, ids = Words(pc.utf8_lower(texts_of(part)), plain=True), part.column("doc_id").to_pylist()
-                found = [(d, k, s, e) for d, (a, b) in enumerate(zip(words.ptr, words.ptr[1:], strict=False)) for k, s, e in passages(mine, words.hashes[a:b])]
+                found = passages(mine, words.hashes, words.ptr)
                 # Pairs of like size together, so that padding stays small.
                 found.sort(key=lambda x: (len(mine.words[x[1]]), x[3] - x[2]))
                 best: dict[tuple[int, int], tuple[float, int, int]] = {}
                 for i in range(0, len(found), 512):
                     some = found[i : i + 512]
-                    scores = align([(mine.words[k], words.hashes[words.ptr[d] + s : words.ptr[d] + e]) for d, k, s, e in some])
+                    scores = align([(mine.words[k], words.hashes[s:e]) for _, k, s, e in some])
                     for (d, k, s, e), x in zip(some, scores, strict=True):
-                        value = (float(x) / (MATCH * len(mine.words[k])), -s, e - s)
+                        value = (float(x) / (MATCH * len(mine.words[k])), int(words.ptr[d]) - s, e - s)
                         if value[0] >= least:
                             best[d, k] = max(best.get((d, k), value), value)
                 rows = [(ids[d], mine.ids[k], v, -s, n) for (d, k), (v, s, n) in sorted(best.items())]
