@@ -153,6 +153,21 @@ def test_mixing(spark, odd):
     assert mixing.mix(mixing.with_tree(odd.limit(0))).count() == 0
 
 
+def test_mixing_stage_meets_the_weights(spark):
+    """Tokens that leave the stage: a leaf that is read in two epochs counts twice."""
+    rows = [(i, "w " * 10, "en", source, i) for i, source in enumerate(["src1"] * 82 + ["src12"] * 10 + ["src19"] * 8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix_stage(spark, docs, FOLDER)
+    assert out.schema.names == docs.schema.names
+    # 600 tokens: web 5, books 3, code 2 of ten; books has 100 and code 80.
+    assert {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.tokens_of(F.col("text"))).alias("n")).collect()} == {"src1": 300, "src12": 180, "src19": 120}
+    docs = table(spark, FOLDER, "documents").withColumn("source", F.concat(F.lit("src"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 20)).withColumn("lang", F.lit("en")).filter(F.length("text") < 3000)
+    totals = [mixing.with_tree(d).groupBy("domain").agg(F.sum(mixing.tokens_of(F.col("text"))).alias("n")).collect() for d in (docs, mixing.mix_stage(spark, docs, FOLDER))]
+    before, after = ({r["domain"]: r["n"] for r in t} for t in totals)
+    for domain, w in mixing.WEIGHTS["domain"].items():
+        assert after[domain] / sum(before.values()) == pytest.approx(0.6 * w / 10, rel=0.08)
+
+
 def shingles(text):
     w = text.lower().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()

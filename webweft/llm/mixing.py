@@ -136,6 +136,7 @@ FROM c JOIN p USING (domain, lang, source) WHERE whole + CASE WHEN until <= budg
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, once each (a later epoch reads the same rows again), as they came."""
+    """Pipeline stage: the documents of the mix as they came, once for each epoch that reads them."""
     original = docs.select("*", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    return mix(with_tree(original)).select(*(F.col("_" + c).alias(c) if c in ("lang", "source") else F.col(c) for c in docs.columns))
+    taken = mix(with_tree(original)).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*(F.col("_" + c).alias(c) if c in ("lang", "source") else F.col(c) for c in docs.columns))
