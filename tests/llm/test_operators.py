@@ -96,6 +96,20 @@ def test_html_text(spark):
     assert sorted(got) == [(1, "Title 1 Body 1 & more line Next bold"), (2, "Title 2 Body 2 & more line Next bold Only on this page of all"), (3, "Unique text number 1 stands here 7"), (4, "Unique text number 2 stands here 14"), (5, ""), (6, ""), (7, "cut"), (7, "cut &am"), (8, "a")]
 
 
+def test_html_runs_repeated_across_blocks(spark, monkeypatch):
+    """Boilerplate on few pages of a large host goes, and neither block size nor partitions change a result."""
+    notice = "Our office is closed on every public holiday"
+    rows = [(i, f"http://big.x/{i}", f"<p>{' '.join(f'u{i}w{k}' for k in range(9))}</p>" + (f"<p>{notice} only{i}</p>" if i % 150 == 0 else "")) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = [(i, " ".join(f"u{i}w{k}" for k in range(9)) + (f" only{i}" if i % 150 == 0 else "")) for i in range(600)]
+    for size, partitions in ((256, "4"), (5, "3"), (10000, "1")):
+        monkeypatch.setattr(html_main, "PAGES", size)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = [(r["page_id"], r["text"]) for r in html_main.extract(pages).collect()]
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(got) == want
+
+
 def test_repeated_runs_against_brute_force():
     rng = random.Random(4)
     for _ in range(60):

@@ -1,25 +1,28 @@
 """HTML extraction by host suffix arrays.
 
-A page becomes a stream of block tokens. Pages are dealt by host and a hash of the page into ranges, so that the pages
-of a large host lie in many tasks, and each task cuts its sorted rows into blocks of at most PAGES pages (and
-BLOCK_TOKENS tokens) of one host. The token streams of a block are concatenated and their suffixes sorted up to
-RUN tokens (prefix doubling); neighbours in that order that share RUN tokens and come from distinct pages are repeated
-runs. Blocks of a page outside its article that repeated runs cover are boilerplate; unique runs are kept.
+A page becomes a stream of block tokens. A host is cut into as many blocks of pages as its size asks for (about PAGES
+pages or BLOCK_CHARS characters each), by a hash of the page, so that the pages of a large host lie in many tasks. The
+token streams of a block are concatenated and their suffixes sorted up to RUN tokens (prefix doubling); neighbours in
+that order that share RUN tokens and come from distinct pages are repeated runs. Of hosts of several blocks the hashes
+of all runs are exchanged: they are met by host and hash, and each block is told which of its runs stand on other pages
+of the host, so that neither the blocks nor the number of partitions change a result. Of blocks of a page outside
+its article that repeated runs cover to COVERED, the repeated runs are boilerplate; unique runs are kept.
 
 Markup decides what repetition cannot: text that the page itself places in an article (or main) element is content
 even where pages of the host repeat it (copies of an article), and menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments never are.
 
 Defined cases: null and empty html give an empty text; a page cut off in a tag, comment or reference is read up to
-there; a page alone on its host, or cut off from its host's others at
-the end of a range, has no repeated runs and is judged by its markup; repeated rows are pages of their own;
+there; a page alone on its host has no repeated runs and is judged by its markup; repeated rows are pages of their own;
 a url without a host belongs to the host ''. Other columns than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
+from .textvec import mix
 
-#: Tokens that pages must share in a row; pages and tokens of a suffix array; share of a block that runs must cover.
-RUN, PAGES, BLOCK_TOKENS, COVERED = 4, 256, 400_000, 0.5
+#: Tokens that pages must share in a row; pages and characters of a suffix array; share of a block that runs must cover.
+RUN, PAGES, BLOCK_CHARS, COVERED = 4, 256, 2_400_000, 0.5
+#: Run hashes that a task holds before it hands them on.
+HELD = 2_000_000
+#: Parts of a host's run hashes that meet in one place each, at most; a host of fewer blocks has as many parts as blocks.
+BUCKETS = 256
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<\Z", re.S | re.I)
 #: Elements that never hold main text.
 FURNITURE = frozenset("head title nav footer aside form button select option menu dialog header".split())
@@ -120,8 +128,22 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.
     return np.cumsum(change[:n]) > 0
 
 
-def main_texts(pages: list[str]) -> list[str]:
-    """Main texts of some pages of one host."""
+def run_hashes(words: list[str], known: dict[str, int], run: int = RUN) -> np.ndarray:
+    """A hash of each run of `run` words in a row of a page, the same in every process. known: a cache of words' hashes."""
+    if len(words) < run:
+        return np.zeros(0, np.uint64)
+    for w in words:
+        if w not in known:
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    h = np.array([known[w] for w in words], np.uint64)
+    out = np.zeros(len(h) - run + 1, np.uint64)
+    for k in range(run):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - run + 1 + k])
+    return out
+
+
+def main_texts(pages: list[str], elsewhere: np.ndarray | None = None) -> list[str]:
+    """Main texts of some pages of one host. elsewhere: sorted hashes of runs that repeat on the host."""
     found = [blocks(p) for p in pages]
     words = [(i, j, w) for i, b in enumerate(found) for j, (_, text) in enumerate(b) for w in text.split()]
     if not words:
@@ -130,35 +152,112 @@ def main_texts(pages: list[str]) -> list[str]:
     known: dict[str, int] = {}
     tokens = np.array([known.setdefault(w, len(known)) for _, _, w in words])
     hit = repeated_tokens(tokens, page)
+    if elsewhere is not None and len(elsewhere):
+        cache: dict[str, int] = {}
+        for own in np.split(np.arange(len(page)), np.flatnonzero(np.diff(page)) + 1):
+            h = run_hashes([words[k][2] for k in own], cache)
+            for start in np.flatnonzero(np.isin(h, elsewhere)):
+                hit[own[start] : own[start] + RUN] = True
     offset = np.cumsum([0, *(len(b) for b in found)])
     block = offset[page] + np.array([j for _, j, _ in words])
     share = np.bincount(block, weights=hit, minlength=offset[-1]) / np.maximum(np.bincount(block, minlength=offset[-1]), 1)
-    return [" ".join(text for k, (region, text) in enumerate(b) if region == ARTICLE or (region == PLAIN and share[offset[i] + k] < COVERED)) for i, b in enumerate(found)]
+    kept = [[[] for _ in b] for b in found]
+    for (i, j, w), k, repeated in zip(words, block.tolist(), hit.tolist(), strict=True):
+        region = found[i][j][0]
+        if region == ARTICLE or (region == PLAIN and not (repeated and share[k] >= COVERED)):
+            kept[i][j].append(w)
+    return [" ".join(w for block_words in b for w in block_words) for b in kept]
+
+
+def _repeated_runs(rows: DataFrame) -> DataFrame:
+    """host, block and found (hashes of the block's runs that stand on two pages of the host) of hosts of several blocks."""
+
+    def hashes(batches):
+        cache: dict[str, int] = {}
+        held: dict[tuple[str, int, int], list[np.ndarray]] = {}
+
+        def done():
+            out = []
+            for (host, n, block), pages in held.items():
+                h, many = np.unique(np.concatenate(pages), return_counts=True)
+                bucket = (h % np.uint64(min(n, BUCKETS))).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    if len(mine):
+                        out.append((host, block, int(bucket[mine[0]]), h[mine].tobytes(), (many[mine] > 1).tobytes()))
+            held.clear()
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["host", "block", "bucket", "runs", "twice"])
+
+        size = 0
+        for batch in batches:
+            for text, host, n, block in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "n", "block")), strict=True):
+                h = np.unique(run_hashes([w for _, t in blocks(text or "") for w in t.split()], cache))
+                held.setdefault((host, n, block), []).append(h)
+                size += len(h)
+                if len(cache) > HELD:
+                    cache.clear()
+            if size > HELD:
+                yield done()
+                size = 0
+        yield done()
+
+    def meet(batches):
+        def answers(rows):
+            runs = [np.frombuffer(r[3], np.uint64) for r in rows]
+            every, of = np.unique(np.concatenate(runs), return_inverse=True)
+            total = np.bincount(of, weights=1 + np.concatenate([np.frombuffer(r[4], bool) for r in rows]))
+            again = every[total > 1]
+            for block in {r[1] for r in rows}:
+                mine = np.unique(np.concatenate([h for h, r in zip(runs, rows, strict=True) if r[1] == block]))
+                yield rows[0][0], block, np.intersect1d(mine, again, assume_unique=True).tobytes()
+
+        def sorted_rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("host", "block", "bucket", "runs", "twice")), strict=True)
+
+        for _, rows in groupby(sorted_rows(), key=lambda r: (r[0], r[2])):
+            found = [a for a in answers(list(rows)) if a[2]]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], ["host", "block", "found"])
+
+    parts = rows.filter("n > 1").select("html", "host", "n", "block").mapInArrow(hashes, "host string, block long, bucket long, runs binary, twice binary")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(ranges, "host", "bucket").sortWithinPartitions("host", "bucket").mapInArrow(meet, "host string, block long, found binary")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     spark = pages.sparkSession
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("dealt"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("dealt"))
+    # Hosts of several blocks are few: each has more than a block's pages or characters.
+    n = F.ceil(F.greatest(F.count("*") / PAGES, F.sum(F.coalesce(F.length("html"), F.lit(0))) / BLOCK_CHARS))
+    large = rows.groupBy("host").agg(n.cast("long").alias("n")).filter("n > 1")
+    rows = rows.join(F.broadcast(large), "host", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))).withColumn("block", F.expr("pmod(dealt, n)"))
+    found = _repeated_runs(rows)
+    both = rows.select("page_id", "url", "html", "host", "block", "dealt", F.lit(None).cast("binary").alias("found")).unionByName(found, allowMissingColumns=True)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(ranges, "host", "dealt").sortWithinPartitions("host", "dealt")
+    # The answers to a block, without dealt, come before its pages.
+    dealt = both.repartition(ranges, "host", "block").sortWithinPartitions("host", "block", F.col("found").isNull(), "dealt")
 
     def run(batches):
-        host, held, size = None, [], 0
+        key, held, told = None, [], []
 
         def done():
-            texts = main_texts([r[2] or "" for r in held])
+            texts = main_texts([r[2] or "" for r in held], np.sort(np.concatenate(told)) if told else None)
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if held and (row[3] != host or len(held) >= PAGES or size > BLOCK_TOKENS * 6):
-                    yield done()
-                    held, size = [], 0
-                host = row[3]
-                held.append(row)
-                size += len(row[2] or "")
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "block", "found")), strict=True):
+                if row[3:5] != key:
+                    if held:
+                        yield done()
+                    key, held, told = row[3:5], [], []
+                if row[5] is None:
+                    held.append(row)
+                else:
+                    told.append(np.frombuffer(row[5], np.uint64))
         if held:
             yield done()
 
