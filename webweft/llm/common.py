@@ -19,16 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small, so that a Python task's memory is bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch at most: one value for all operators, since results are lazy.
+BATCH_ROWS = 400
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound a Python task's memory: lower the session's rows of an Arrow batch to BATCH_ROWS if they are more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none (tests on one machine) a local one is made."""
+    """The folder that all executors share. A session of one machine without one gets a local one; a cluster must name it."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-webweft-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -49,30 +58,55 @@ def crc_of_id(doc_id: Column) -> Column:
 def bounded_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
     """About per_class rows of each value of label at most, chosen by a hash of doc_id.
 
-    One aggregate counts the classes; the number of rows kept is bounded by classes x per_class
-    (up to the spread of the hash), so the result may be collected or broadcast.
+    Values of label are counted in Spark and joined by a broadcast of those of many rows only: a class of at most
+    per_class rows is kept whole, and there are at most (all rows / per_class) others.
     """
-    counts = rows.groupBy(label).count().limit(1000).collect()
-    if not counts:
-        return rows.limit(0)
-    keep = F.lit(False)
-    dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
-    for value, n in counts:
-        keep = keep | (F.col(label).eqNullSafe(F.lit(value)) & (dealt < int(1_000_000 * min(1.0, per_class / n))))
-    return rows.filter(keep)
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n")).filter(F.col("_n") > per_class)
+    share = counts.select(F.col(label).alias("_label"), (per_class / F.col("_n")).alias("_share"))
+    dealt = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    both = rows.join(share, F.col(label).eqNullSafe(F.col("_label")), "left")
+    return both.filter(F.col("_share").isNull() | (dealt < F.col("_share"))).select(*rows.columns)
 
 
 def training_texts(documents: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> list[tuple[str, int]]:
-    """(text, label) of a bounded sample of labelled training rows, in doc_id order.
+    """(text, label) of a bounded sample of labelled training rows, in the order of doc_id and text.
 
-    Null labels and ids are left out; a doc_id with several labels counts once, with the least.
+    Null labels and ids are left out; a doc_id with several labels counts once, with the least; of a doc_id with
+    several texts the least counts.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("_y")).filter(train)
     chosen = bounded_sample(known, "_y", per_class)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
     return [(r["text"] or "", int(r["_y"])) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
+#: Rows that may be broadcast: counted first.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_not(facts: DataFrame) -> DataFrame:
+    """A table of short rows, marked for broadcast if it has BROADCAST_ROWS rows at most; else it is shuffled."""
+    return F.broadcast(facts) if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else facts
+
+
+#: A key of more than one in HEAVY of all rows is heavy; so there are at most HEAVY of them.
+HEAVY = 5000
+
+
+def keyed_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows inner joined to facts, which has one row a key and, in `count`, how many of rows have it.
+
+    Heavy keys would land in one task each: their facts, at most HEAVY rows, are broadcast, and their rows are not
+    shuffled; all other rows meet their facts by key. facts: a written table, since it is read three times.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    is_heavy = F.col(count) > max(1, total // HEAVY)
+    heavy = facts.filter(is_heavy)
+    here = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
+    light = rows.join(here, keys, "left_anti").join(facts.filter(~is_heavy), keys)
+    return light.unionByName(rows.join(F.broadcast(heavy), keys))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `most` bytes of text; a longer text comes alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
