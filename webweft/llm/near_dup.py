@@ -44,7 +44,7 @@ from .textvec import Words, mix
 GRAM, THRESHOLD = 5, 0.8
 TREES, DEPTH, SHALLOWEST, RECALL = 32, 8, 5, 0.9999
 TIE, COVERED = 0.35, 0.55
-BLOCK, BLOCK_SHINGLES = 1000, 150_000
+BLOCK, BLOCK_SHINGLES = 600, 150_000
 
 _LABELS = TREES * DEPTH
 _RANDOM = np.random.default_rng(20240501)
@@ -239,7 +239,9 @@ def ties(nodes: DataFrame, threshold: float) -> DataFrame:
     rest = far.join(several, "leader").join(nodes.select("node", "paths"), "node")
     blocks = _block_pairs(rest, "leader", "node", F.ceil(F.count("*") / BLOCK))
     more = blocks.groupBy("leader", "_i", "_j").applyInPandas(_far_ties, "u long, v long")
-    return deep.filter(F.col("alike") >= TIE).select(F.col("node").alias("u"), F.col("leader").alias("v")).unionByName(more)
+    near = deep.filter(F.col("alike") >= TIE).select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    # Written, so that no task runs two Python workers in a chain.
+    return written(near.unionByName(more), "ties")
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -264,9 +266,9 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _roots(linked: np.ndarray) -> np.ndarray:
     """The least number of each one's component."""
     n = len(linked)
-    root = np.arange(n)
+    root = np.arange(n, dtype=np.int32)
     while n:
-        lower = np.minimum(root, np.where(linked, root[None, :], n).min(1))
+        lower = np.minimum(root, np.where(linked, root[None, :], np.int32(n)).min(1))
         lower = np.minimum(lower, lower[lower])
         if (lower == root).all():
             break
