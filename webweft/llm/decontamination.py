@@ -7,16 +7,19 @@ number allows, are not used as seeds and the number is lowered by as many. A sec
 greatest span with that many seeds of an item, joins those that overlap into passages and aligns the whole item with
 each. No alignment from LEAST on is lost. The best score of an item in a document, divided by the item's perfect score, is reported.
 
-The test set is broadcast in chunks of at most ITEM_WORDS words; documents are never shuffled.
+The test set is broadcast in chunks: its distinct items are dealt into as many chunks as there are ITEM_WORDS words, by
+a hash, so that a chunk has about ITEM_WORDS words, one long item apart. Each chunk reads the documents twice. One count
+for each seed of a chunk comes to the driver. Documents are never shuffled.
 
 Defined cases: null and empty texts and items match nothing; items so short that pairs prove nothing are seeded by
 single words; repeated items each get their own rows; repeated documents each get their own rows; an empty test set
-gives an empty result.
+gives an empty result. The stage judges each row by its own text, whatever its doc_id.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,9 +61,10 @@ class Bounds:
 
 @dataclass
 class Items:
-    """Test items as word hashes with their bounds, and seeds sorted by hash: item and place of each."""
+    """Test items (each with how often it stands in the test set) as word hashes with their bounds, and seeds sorted by
+    hash: item and place of each."""
 
-    ids: list
+    ids: list[tuple]
     words: list[np.ndarray]
     gram: np.ndarray
     need: np.ndarray
@@ -71,8 +75,9 @@ class Items:
 
     @staticmethod
     def of(rows: list[tuple], least: float = LEAST) -> Items:
-        words = Words(pc.utf8_lower(pa.array([t or "" for _, t in rows], pa.large_string())), plain=True)
-        per = [(i, words.hashes[a:b]) for (i, _), a, b in zip(rows, words.ptr, words.ptr[1:], strict=False) if b > a]
+        """rows: item_id, text, and how often the item stands in the test set."""
+        words = Words(pc.utf8_lower(pa.array([r[1] or "" for r in rows], pa.large_string())), plain=True)
+        per = [((r[0], r[2]), words.hashes[a:b]) for r, a, b in zip(rows, words.ptr, words.ptr[1:], strict=False) if b > a]
         bounds = [Bounds.of(len(w), least) for _, w in per]
         seeds = [_seeds(w, b.gram) for (_, w), b in zip(per, bounds, strict=True)]
         seed = np.concatenate([*seeds, np.zeros(0, np.uint64)])
@@ -213,25 +218,58 @@ def _may_reach(items: Items, found: tuple[int, int, int, int], hashes: np.ndarra
     return bool((same[reach:] - same[: len(same) - reach]).max() >= need)
 
 
+def _chunks(benchmark: DataFrame, least: float) -> Iterator[Items]:
+    """The test set in chunks of about ITEM_WORDS words. There is always one."""
+    rows = benchmark.groupBy("item_id", "text").agg(F.count("*").alias("n"))
+    words = rows.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")))).first()[0] or 0
+    chunks = max(1, -(-int(words) // ITEM_WORDS))
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks))
+    for c in range(chunks):
+        yield Items.of([tuple(r) for r in rows.filter(dealt == c).collect()], least)
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, score (share of the perfect score), start and n_words of the aligned passage."""
-    rows = benchmark.select("item_id", "text")
-    words = rows.agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")))).first()[0] or 0
-    chunks = -(-int(words) // ITEM_WORDS)
     out = None
-    for c in range(max(1, chunks)):
-        part = rows if chunks <= 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c)
-        found = _leaks_of(documents, Items.of([tuple(r) for r in part.collect()], least), least)
+    for items in _chunks(benchmark, least):
+        find = _finder(documents, items, least)
+
+        def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    ids = part.column("doc_id").to_pylist()
+                    rows = [(ids[d], item, *found) for d, (item, n), *found in find(part) for _ in range(n)]
+                    columns = list(zip(*rows, strict=True)) or [()] * 5
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "start", "n_words"])
+
+        found = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, start long, n_words long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _leaks_of(documents: DataFrame, items: Items, least: float) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows, with all their columns, whose text holds no passage of the test set."""
+    for items in _chunks(benchmark, least):
+        find = _finder(documents, items, least)
+
+        def run(batches: Iterator[pa.RecordBatch], find=find) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[d for d, *_ in find(part)]] = False
+                    yield part.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
+def _finder(documents: DataFrame, items: Items, least: float):
+    """A function for tasks: (row, item, score, start, words) of the best passage of each item in the texts of a batch."""
     sc = documents.sparkSession.sparkContext
-    texts = documents.select("doc_id", "text")
     every, lengths = sc.broadcast(np.unique(items.seed)), np.unique(items.gram).tolist()
 
-    def count(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(every.value), np.int64)
         for batch in batches:
             for part in slices(batch):
@@ -245,30 +283,27 @@ def _leaks_of(documents: DataFrame, items: Items, least: float) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(every.value[seen].astype(np.int64)), pa.array(total[seen])], ["seed", "n"])
 
-    df = {r["seed"]: r["n"] for r in texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()} if len(items.seed) else {}
+    counted = documents.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    df = {r["seed"]: r["n"] for r in counted.collect()} if len(items.seed) else {}
     shared = sc.broadcast(items.rare(df))
 
-    def run(batches):
+    def find(part: pa.RecordBatch) -> list[tuple]:
         mine = shared.value
-        for batch in batches:
-            for part in slices(batch):
-                words, ids = Words(pc.utf8_lower(texts_of(part)), plain=True), part.column("doc_id").to_pylist()
-                found = passages(mine, words.hashes, words.ptr)
-                # Pairs of like size together, so that padding stays small.
-                found.sort(key=lambda x: (len(mine.words[x[1]]), x[3] - x[2]))
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                for i in range(0, len(found), 512):
-                    some = found[i : i + 512]
-                    scores = align([(mine.words[k], words.hashes[s:e]) for _, k, s, e in some])
-                    for (d, k, s, e), x in zip(some, scores, strict=True):
-                        value = (float(x) / (MATCH * len(mine.words[k])), int(words.ptr[d]) - s, e - s)
-                        if value[0] >= least:
-                            best[d, k] = max(best.get((d, k), value), value)
-                rows = [(ids[d], mine.ids[k], v, -s, n) for (d, k), (v, s, n) in sorted(best.items())]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "start", "n_words"])
-
-    return texts.mapInArrow(run, "doc_id long, item_id long, score double, start long, n_words long")
+        words = Words(pc.utf8_lower(texts_of(part)), plain=True)
+        found = passages(mine, words.hashes, words.ptr)
+        # Pairs of like size together, so that padding stays small.
+        found.sort(key=lambda x: (len(mine.words[x[1]]), x[3] - x[2]))
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for i in range(0, len(found), 512):
+            some = found[i : i + 512]
+            scores = align([(mine.words[k], words.hashes[s:e]) for _, k, s, e in some])
+            for (d, k, s, e), x in zip(some, scores, strict=True):
+                value = (float(x) / (MATCH * len(mine.words[k])), int(words.ptr[d]) - s, e - s)
+                if value[0] >= least:
+                    best[d, k] = max(best.get((d, k), value), value)
+        return [(d, mine.ids[k], v, -s, n) for (d, k), (v, s, n) in sorted(best.items())]
+
+    return find
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +312,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a passage of the test set."""
+    """Pipeline stage: rows whose text holds no passage of the test set."""
     small_batches(spark)
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
