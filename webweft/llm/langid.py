@@ -1,7 +1,8 @@
 """Language ID: a linear-chain conditional random field over the words of code-switched text.
 
 Every word has affix, n-gram and lexicon features (hashed, over its UTF-8 bytes without case); their weights give
-the word's emission for each language, and learned transitions join neighbours. Forward-backward gives each word's
+the word's emission for each language, and learned transitions join neighbours. Words of more than 16 bytes, and so
+texts without spaces, are read as a sequence of overlapping pieces of 16 bytes: no byte is left out. Forward-backward gives each word's
 language probabilities; a document's language is the one with the largest mean probability, its score that mean.
 
 Long documents are cut into segments whose 4x4-like transfer matrices are multiplied, so that the result is the exact
@@ -37,8 +38,8 @@ _WIDE = 16
 def word_features(words: Words, of: np.ndarray) -> np.ndarray:
     """(len(of), k) hashed feature buckets of the words numbered `of`; bucket 0 is none.
 
-    Features: the word itself (lexicon), affixes of 1 to 4 bytes, byte pairs and triples of the first and last
-    bytes up to 16 (longer words by both ends).
+    Features: the word itself (lexicon), affixes of 1 to 4 bytes, and all byte pairs and triples. words: pieces, of 16
+    bytes at most.
     """
     start, size = words.starts[of], words.ends[of] - words.starts[of]
     at = np.arange(_WIDE)
@@ -77,7 +78,7 @@ class LanguageModel:
         n = len(texts)
         if not self.languages:
             return ["und"] * n, np.zeros(n)
-        words = Words(pc.utf8_lower(texts))
+        words = Words(pc.utf8_lower(texts)).pieces(_WIDE)
         total = marginal_sums(self.emissions(words), words.ptr, self.transitions)
         count = np.maximum(np.diff(words.ptr), 1)
         mean = total / count[:, None]
@@ -169,7 +170,7 @@ def fit(sample: list[tuple[str, str]], steps: int = 150, batch: int = 64, seed:
     if k == 0:
         return LanguageModel([], weights, trans)
     draw = np.random.default_rng(seed)
-    words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string())))
+    words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string()))).pieces(_WIDE)
     label = np.repeat([languages.index(lang) for _, lang in sample], np.diff(words.ptr))
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     feats = word_features(words, first) if len(first) else np.zeros((0, 1), int)
@@ -208,10 +209,12 @@ def fit(sample: list[tuple[str, str]], steps: int = 150, batch: int = 64, seed:
 
 
 def train(documents: DataFrame, training_rows: Column, per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> LanguageModel:
+    """Fit on about per_language rows of each language; of rows of one doc_id and language the least text counts."""
     known = documents.filter(training_rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    chosen = F.broadcast(bounded_sample(known, "lang", per_language).dropDuplicates(["doc_id", "lang"]))
-    rows = documents.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).filter(F.col("text").isNotNull()).dropDuplicates(["doc_id", "lang"]).collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["lang"]))])
+    chosen = F.broadcast(bounded_sample(known, "lang", per_language).distinct())
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
+    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    return fit([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["lang"]))])
 
 
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:

@@ -5,6 +5,7 @@ A word is a run of bytes over 32, so ASCII white space and control characters pa
 
 from __future__ import annotations
 
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -82,3 +83,22 @@ class Words:
         np.add.at(keep, self.ptr[:-1][has > 0], 1)
         np.add.at(keep, (self.ptr[:-1] + has)[has > 0], -1)
         return mix(h[np.cumsum(keep[: len(h)]) > 0]), np.concatenate([[0], np.cumsum(has)])
+
+    def pieces(self, size: int = 16, step: int = 13) -> Words:
+        """The same texts with every word of more than `size` bytes cut into overlapping pieces: no byte is left out,
+        and every `size - step` bytes in a row lie whole in a piece."""
+        length = self.ends - self.starts
+        many = 1 + np.maximum(0, -(-(length - size) // step))
+        if not len(many) or many.max() == 1:
+            return self
+        owner = np.repeat(np.arange(len(many)), many)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        out = copy(self)
+        out.starts = self.starts[owner] + nth * step
+        out.ends = np.minimum(out.starts + size, self.ends[owner])
+        out.ptr = np.concatenate([[0], np.cumsum(many)])[self.ptr]
+        v = (self.data.astype(np.uint64) + np.uint64(1)) * _table(_P, len(self.data))
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)])
+        cut = (before[out.ends] - before[out.starts]) * _table(_P_INV, len(self.data))[out.starts]
+        out.hashes = np.where(many[owner] > 1, mix(cut), self.hashes[owner])
+        return out
