@@ -24,7 +24,7 @@ from .common import crc_of_id, slices, small_batches, table, texts_of, training_
 from .langid import word_features
 from .textvec import Words, mix
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 8
 WORD_BITS, CHAR_BITS, ODDS_BITS = 15, 13, 17
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 6, 8
 #: Bound of the training sample: so many labelled rows of each class.
@@ -130,7 +130,7 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None or not len(texts):
             return np.full(len(texts), self.constant or 0.0)
-        logit, owner = self.logits(Words(pc.utf8_lower(texts), plain=True))
+        logit, owner = self.logits(Words(pc.utf8_lower(texts), plain=True).pieces())
         worst = np.full(len(texts), -np.inf)
         np.maximum.at(worst, owner, logit)
         return _sigmoid(np.clip(self.slope * worst + self.shift, -40, 40))
@@ -179,7 +179,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 8, steps: int = 75, batch:
     if len(set(y.tolist())) < 2:
         return ToxicityModel(constant=float(y[0]) if len(y) else 0.0)
     draw = np.random.default_rng(seed)
-    words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string())), plain=True)
+    words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string())), plain=True).pieces()
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     chars, hashes = chars_of(words, first), words.hashes[first]
     bucket = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
