@@ -76,7 +76,7 @@ class Counted:
             cache.clear()
         missing = list({p for parts in split for p in parts if p not in known and p not in cache})
         cache.update(zip(missing, self.lengths(missing), strict=True))
-        return [sum(known.get(p) or cache[p] for p in parts) for parts in split]
+        return [sum(known[p] if p in known else cache[p] for p in parts) for parts in split]
 
 
 @lru_cache(maxsize=1)
