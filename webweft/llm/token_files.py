@@ -10,12 +10,13 @@ Segment layout, little-endian: counts of ids, documents and blocks (u32 each); b
 then per block minimum (u32), width (u8), ids (u16), exceptions (u16), packed ids, exception positions (u16) and
 values (u32). Lengths of documents are a list column beside the bytes.
 
-Defined cases: null and empty texts have only the end id; a row without doc_id sorts first; repeated rows are kept,
-each with its own place; an empty table gives empty files. Columns other than doc_id and text are ignored.
+Defined cases: null and empty texts have only the end id; a row without doc_id sorts first; rows of one
+doc_id are in the order of a hash of their texts; repeated rows are kept, each with its own place; an empty table gives empty files. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -70,6 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.cuts = _cuts_as_expected(self.library)
         self.cache: dict[str, bytes] = {}
         self.line = self._whole("\n")
         (self.line_feed,) = np.frombuffer(self.line, "<u4")
@@ -78,6 +80,8 @@ class Encoder:
         """uint32 ids of each text with the end id."""
         if len(self.cache) > CACHED:
             self.cache.clear()
+        if not self.cuts:
+            return [np.frombuffer(self._whole(t) + END, "<u4") for t in texts.to_pylist()]
         uneven = pc.match_substring_regex(texts, UNEVEN)
         out = self._even(pc.if_else(uneven, "", texts))
         for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)):
@@ -146,13 +150,20 @@ class Encoder:
                 at = end + 4
 
 
+def _cuts_as_expected(library) -> bool:
+    """Whether the file's own cut is that of PART and nothing is done to texts before it; else texts go whole."""
+    file = json.loads(library.to_str())
+    cut = file.get("pre_tokenizer") or {}
+    return cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and file.get("normalizer") is None
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     """One for each worker process: its cache outlives a task."""
     return Encoder(path)
 
 
-def pack(ids: np.ndarray) -> bytes:
+def pack(ids: np.ndarray, documents: int = 0) -> bytes:
     """A segment's bytes (without the documents' lengths)."""
     n = len(ids)
     blocks = -(-n // BLOCK)
@@ -177,7 +188,7 @@ def pack(ids: np.ndarray) -> bytes:
                 parts[row] = struct.pack("<IBHH", least, w, size, end - before) + data.tobytes() + places[2 * before : 2 * end] + values_over[4 * before : 4 * end]
                 before = end
     starts = np.cumsum([12 + 4 * (blocks + 1), *map(len, parts)]).astype("<u4")
-    return struct.pack("<III", n, 0, blocks) + starts.tobytes() + b"".join(parts)
+    return struct.pack("<III", n, documents, blocks) + starts.tobytes() + b"".join(parts)
 
 
 def _blocks(segment: bytes, start: np.ndarray, heads: np.ndarray, w: int, size: int) -> np.ndarray:
@@ -227,7 +238,10 @@ def write(documents: DataFrame, path: str, segment_ids: int = 1 << 18) -> DataFr
     """Encode and write; returns the table of segments as read back from the shared folder. path: a tokenizers file."""
     spark = documents.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = documents.select("doc_id", "text").repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # A hash of the text parts rows of one doc_id, or without one, into several ranges.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -238,7 +252,7 @@ def write(documents: DataFrame, path: str, segment_ids: int = 1 << 18) -> DataFr
 
         def full():
             flat = np.concatenate(ids)
-            row = {"range": number, "segment": segment, "before": before, "n_ids": len(flat), "doc_ids": docs, "lengths": [len(x) for x in ids], "bytes": pack(flat)}
+            row = {"range": number, "segment": segment, "before": before, "n_ids": len(flat), "doc_ids": docs, "lengths": [len(x) for x in ids], "bytes": pack(flat, len(docs))}
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT_ARROW)
 
         for batch in batches:
