@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, written
+from .common import keyed_join, slices, small_batches, table, written
 
 WIDTH = 192
 ELEMENT = "position int, kind string, text string, digest string, caption string"
@@ -88,11 +88,18 @@ SEQUENCE_ARROW = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.strin
 def resolve(sequenced: DataFrame, payloads: DataFrame) -> DataFrame:
     """Each media reference as a row, with its payload's columns joined by digest (null where there is none).
 
-    payloads: one row for each digest. Rows keep position and caption; the texts stay in the sequence.
+    payloads: one row for each digest. Rows keep position and caption, and say of the texts around them how many
+    elements there are and, as `texts_sha256`, what their texts are in order. A digest of many references is joined by
+    broadcast, so that its references are not brought together.
     """
     keys = [c for c in sequenced.columns if c != "sequence"]
-    references = sequenced.select(*keys, F.size("sequence").alias("n_elements"), F.explode(F.filter("sequence", lambda e: e["kind"] == "media")).alias("_e")).select(*keys, "n_elements", "_e.position", "_e.caption", "_e.digest")
-    return references.join(payloads, "digest", "left")
+    texts = F.array_join(F.transform(F.filter("sequence", lambda e: e["kind"] == "text"), lambda e: e["text"]), "\n")
+    media = F.explode(F.filter("sequence", lambda e: e["kind"] == "media")).alias("_e")
+    every = sequenced.select(*keys, F.size("sequence").alias("n_elements"), F.sha2(texts.cast("binary"), 256).alias("texts_sha256"), media)
+    references = written(every.select(*keys, "n_elements", "texts_sha256", "_e.position", "_e.caption", F.coalesce("_e.digest", F.lit("")).alias("digest")), "references")
+    counts = references.groupBy("digest").agg(F.count("*").alias("_references"))
+    facts = written(counts.join(payloads, "digest", "left"), "payloads")
+    return keyed_join(references, facts, ["digest"], "_references").drop("_references")
 
 
 def encode_png(samples: bytes, width: int = WIDTH) -> bytes:
@@ -131,6 +138,10 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % WIDTH if text else WIDTH)
 
 
+#: Digests that a task remembers as stored.
+KEPT = 1_000_000
+
+
 def store(texts: DataFrame) -> DataFrame:
     """digest and media of every distinct text, written to the shared folder and read back. texts: digest, text.
 
@@ -142,6 +153,8 @@ def store(texts: DataFrame) -> DataFrame:
         seen: set[str] = set()
         for batch in batches:
             for part in slices(batch):
+                if len(seen) > KEPT:
+                    seen.clear()
                 rows = {d: t for d, t in zip(part.column("digest").to_pylist(), part.column("text").to_pylist(), strict=True) if d not in seen}
                 seen.update(rows)
                 media = [encode_png(payload_of((t or "").encode())) for t in rows.values()]
@@ -170,12 +183,12 @@ def features(media: DataFrame) -> DataFrame:
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a page whose figure's payload is the document's own bytes."""
-    small_batches(spark, 400)
+    small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     documents = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     figure = F.concat(F.lit('<figure><img data-digest="'), F.col("digest"), F.lit('" alt=""><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure>"))
     pages = documents.select("doc_id", F.concat(F.lit("<article><p>"), F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"), figure, F.lit("</article>")).alias("html"))
     found = resolve(sequences(pages, "doc_id", "html"), features(store(documents)))
-    return found.select("doc_id", F.regexp_extract("caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_elements", "position", "caption")
+    return found.select("doc_id", F.regexp_extract("caption", r"^(\d+)", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_elements", "texts_sha256", "position", "caption")
 
