@@ -32,7 +32,7 @@ def test_config():
 
 def test_reports(spark):
     errors = spark.createDataFrame([("b", "e1", 5), ("a", "e2", 5), ("c", None, 9)], "url string, error string, at long")
-    assert [r["line"] for r in report.error_log(errors, 2).collect()] == ["9\tc", "5\ta\te2"]
+    assert [r["line"] for r in report.error_log(errors, 2).collect()] == ["[9] c: ", "[5] a: e2"]
     none = spark.createDataFrame([], "outcome string, at long")
     text = report.manifest(none, spark.createDataFrame([], "url string, path string"), {}).first()["manifest"]
     assert '"total_files":0' in text and '"mapped":0' in text

@@ -10,6 +10,18 @@ from .text import ascii_lower, col, contains_any
 #: Marks of client-side frameworks, and of paging by scripts.
 HYDRATION = ("__next_data__", 'id="__next"', "id='__next'", 'id="__nuxt"', "id='__nuxt'", "window.__nuxt__", "data-reactroot", "webpackchunk", "vite/client", "ng-version", "astro-island", "svelte")
 INTERACTION = ("data-page", "data-page-number", "data-pagenumber", "load more", "load-more", "infinite-scroll", "infinite scroll", "intersectionobserver", "onscroll", "hx-get", "hx-post", "data-endpoint", "data-url", "data-fetch-url", "onclick")
+#: What each rule says, in the order of the rules.
+REASONS = (
+    "framework hydration markers found",
+    "noscript warns about JavaScript dependency",
+    "many scripts but very few anchor links",
+    "script-heavy page with low link density",
+    "low visible text with script-heavy shell",
+    "shell-like page with mostly structured/script content",
+    "interactive pagination/infinite-scroll markers found",
+    "inline JS network calls suggest runtime data loading",
+    "JS-first shell with minimal static navigation",
+)
 NETWORK = ("fetch(", "xmlhttprequest", "axios.")
 
 
@@ -30,7 +42,7 @@ def site_kind(score: Column) -> Column:
 
 
 def detect(html: Column | str) -> Column:
-    """Struct of kind, score, static_anchors, scripts, visible_bytes, static_bytes."""
+    """Struct of kind, score, reasons (in the order of the rules), static_anchors, scripts, visible_bytes, static_bytes."""
     h = col(html)
     low, anchors, scripts, seen = ascii_lower(h), anchor_count(h), script_count(h), visible_bytes(h)
     has = lambda needle: F.contains(low, F.lit(needle))
@@ -44,7 +56,19 @@ def detect(html: Column | str) -> Column:
         + F.when(contains_any(low, NETWORK) & (scripts >= 1), 2).otherwise(0)
         + F.when((scripts >= 1) & (anchors <= 1) & (seen < 300), 1).otherwise(0)
     )
-    return F.struct(site_kind(points).alias("kind"), points.alias("score"), anchors.alias("static_anchors"), scripts.alias("scripts"), seen.alias("visible_bytes"), F.octet_length(h).alias("static_bytes"))
+    rules = (
+        (contains_any(low, HYDRATION), REASONS[0]),
+        (has("enable javascript") & has("<noscript"), REASONS[1]),
+        ((scripts >= 8) & (anchors <= 2), REASONS[2]),
+        ((scripts >= 5) & (anchors <= 4) & ~((scripts >= 8) & (anchors <= 2)), REASONS[3]),
+        ((seen < 250) & (scripts >= 4), REASONS[4]),
+        (has("application/ld+json") & (scripts >= 5) & (seen < 400), REASONS[5]),
+        (contains_any(low, INTERACTION), REASONS[6]),
+        (contains_any(low, NETWORK) & (scripts >= 1), REASONS[7]),
+        ((scripts >= 1) & (anchors <= 1) & (seen < 300), REASONS[8]),
+    )
+    reasons = F.array_compact(F.array(*(F.when(rule, F.lit(reason)) for rule, reason in rules)))
+    return F.struct(site_kind(points).alias("kind"), points.alias("score"), reasons.alias("reasons"), anchors.alias("static_anchors"), scripts.alias("scripts"), seen.alias("visible_bytes"), F.octet_length(h).alias("static_bytes"))
 
 
 def refine(found: Column, rendered: Column) -> Column:

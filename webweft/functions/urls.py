@@ -118,9 +118,14 @@ def _target(base: Column, r: Column) -> Column:
     return F.when(F.contains(r, F.lit("://")), r).when(F.startswith(r, F.lit("//")), F.concat(base["scheme"], F.lit(":"), r)).otherwise(rebuilt)
 
 
+def resolve_text(base: Column, reference: Column | str) -> Column:
+    """Canonical text of a reference on a parsed base; empty if there is no base."""
+    return F.coalesce(to_string(canonicalize(resolve(base, reference)), fragment=False), F.lit(""))
+
+
 def resolve_key(base: Column | str, reference: Column | str) -> Column:
     """Canonical text of a reference on a base's text; empty if the base does not parse."""
-    return F.coalesce(to_string(canonicalize(resolve(url_parse(base), reference)), fragment=False), F.lit(""))
+    return resolve_text(url_parse(base), reference)
 
 
 def should_ignore(url: Column | str) -> Column:

@@ -48,5 +48,5 @@ def manifest(outcomes: DataFrame, mappings: DataFrame, config: dict[str, str], s
 
 
 def error_log(errors: DataFrame, most: int = 1000) -> DataFrame:
-    """Lines of the error log, latest first. errors: url, error, at."""
-    return errors.orderBy(F.desc("at"), "url").limit(most).select(F.concat_ws("\t", F.col("at").cast("string"), "url", "error").alias("line"))
+    """Lines of the error log, `[at] url: error`, latest first. errors: url, error, at."""
+    return errors.orderBy(F.desc("at"), "url").limit(most).select(F.concat(F.lit("["), F.col("at").cast("string"), F.lit("] "), F.coalesce("url", F.lit("")), F.lit(": "), F.coalesce("error", F.lit(""))).alias("line"))

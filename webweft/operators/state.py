@@ -56,3 +56,34 @@ def circuit_breaker(outcomes: DataFrame, key: str, limit: int = 3) -> DataFrame:
     counted = outcomes.withColumn("_run", F.sum(F.col("ok").cast("int")).over(runs)).filter("timeout AND NOT ok").groupBy(key, "_run").count()
     tripped = counted.groupBy(key).agg(F.max("count").alias("longest"))
     return outcomes.select(key).distinct().join(tripped, key, "left").select(key, F.coalesce("longest", F.lit(0)).alias("longest"), (F.coalesce("longest", F.lit(0)) >= limit).alias("tripped"))
+
+
+def add_errors(errors: DataFrame, new: DataFrame) -> DataFrame:
+    """Errors with new ones (url, error, at) numbered after the last."""
+    last = errors.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
+    order = Window.orderBy("at", "url", "error")
+    numbered = new.join(F.broadcast(last)).withColumn("id", F.col("_last") + F.row_number().over(order))
+    return errors.unionByName(numbered.select(*errors.columns))
+
+
+def lookup(table: DataFrame, urls: DataFrame) -> DataFrame:
+    """The rows of the given URLs, with nulls where the table has none."""
+    return urls.select("url").distinct().join(table, "url", "left")
+
+
+def assign_paths(url_map: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The mapping with a pending row for every wanted URL (url, file_path) that it does not have."""
+    new = wanted.groupBy("url").agg(F.min("file_path").alias("file_path")).join(url_map.select("url"), "url", "left_anti")
+    return url_map.unionByName(new.withColumn("kind", F.lit("pending")).select(*url_map.columns))
+
+
+def counts(frontier: DataFrame, visited: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: pending, visited, errors."""
+    tables = ((frontier.filter("status = 'pending'"), "pending"), (visited, "visited"), (errors, "errors"))
+    named = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for t, name in tables]
+    every = named[0].unionByName(named[1]).unionByName(named[2])
+    return every.agg(*(F.sum(F.when(F.col("table") == name, F.col("n"))).alias(name) for _, name in tables))
+
+
+def cleared(table: DataFrame) -> DataFrame:
+    return table.limit(0)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweft.functions import detect, extract, paths, urls
-from webweft.operators import events, json_walk, report, state
+from webweft.functions import detect, extract, paths, predicates, render, rewrite, urls
+from webweft.operators import events, json_walk, links, report, state
 from webweft.plans.crawl import crawl_depths
+from webweft.sources import pages as sources
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,9 @@ def url_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = _read(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(extract.html_links("html")).alias("position", "link"))
-    return links.select("page_id", "position", F.col("link.tag").alias("tag"), F.col("link.url").alias("href"), urls.resolve_key("url", "link.url").alias("target"))
+    pages = _read(spark, sf_dir, "pages").select("page_id", urls.url_parse("url").alias("base"), "html")
+    links = pages.select("page_id", "base", F.posexplode(extract.html_links("html")).alias("position", "link"))
+    return links.select("page_id", "position", F.col("link.tag").alias("tag"), F.col("link.url").alias("href"), urls.resolve_text(F.col("base"), "link.url").alias("target"))
 
 
 def out_links_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +147,144 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(m).select(F.col("m.config")["depth"].alias("depth"), "m.mapped", F.explode("m.files").alias("f")).select("depth", "mapped", "f.url", "f.path")
 
 
+def probe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places to try on a site, in order: 575 of them."""
+    return sources.probe_paths(spark)
+
+
+def link_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each link of the pages costs, and whether it is one to ignore, with extensions of many kinds put to them."""
+    kinds = F.array(*map(F.lit, ("", ".html", ".PHP", ".css", ".js", ".png", ".unknown", "/")))
+    tags = F.array(*map(F.lit, ("a", "img", "link", "script", "iframe", "div")))
+    found = url_resolve_links(spark, sf_dir).withColumn("n", (F.col("page_id") + F.col("position")).cast("int"))
+    rows = found.select("page_id", "position", F.concat("href", F.element_at(kinds, F.col("n") % 8 + 1)).alias("path"), F.element_at(tags, F.col("n") % 6 + 1).alias("tag"), (F.col("n") % 4 == 0).alias("sheet"))
+    weight = predicates.link_weight(F.col("tag"), F.col("sheet"), F.col("tag") == "script", F.col("path"))
+    return rows.select("page_id", "position", weight.cast("int").alias("link"), predicates.script_weight(F.col("path")).cast("int").alias("script"), predicates.json_weight(F.col("path")).cast("int").alias("json"))
+
+
+def ignored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of every scheme, with and without a blank before them, tested against what is never followed."""
+    schemes = F.array(*map(F.lit, ("", "mailto:", "TEL:", "javascript:", "data:", "blob:", "about:", "file:", "ftp:", "WS:", "wss:", "https:", " javascript:", "x-javascript:")))
+    rows = url_resolve_links(spark, sf_dir).select("page_id", "position", F.concat(F.element_at(schemes, ((F.col("page_id") * 3 + F.col("position")) % 14 + 1).cast("int")), "href").alias("address"))
+    return rows.select("page_id", "position", "address", urls.should_ignore("address").alias("ignored"))
+
+
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of the pages' bodies, and of the documents', under every type and extension."""
+    mimes = F.array(*map(F.lit, ("", "text/html", "Text/CSS", "application/javascript", "application/ld+json", "image/png", "application/xhtml+xml")))
+    names = F.array(*map(F.lit, ("/a", "/a.html", "/a.css", "/a.mjs", "/a.json", "/a.png")))
+    both = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body"), F.lit("page").alias("of"))
+    both = both.unionByName(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"), F.lit("document").alias("of")))
+    kind = predicates.content_kind(F.element_at(mimes, (F.col("id") % 7 + 1).cast("int")), F.element_at(names, (F.col("id") % 6 + 1).cast("int")), F.col("body"))
+    return both.select("of", "id", kind.alias("kind"))
+
+
+def percent_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts percent-encoded, and decoded again."""
+    text = F.coalesce("text", F.lit(""))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), urls.percent_encode(text).alias("encoded"))
+    return rows.select("doc_id", F.md5(F.col("encoded").cast("binary")).alias("encoded"), F.md5(urls.percent_decode("encoded").cast("binary")).alias("decoded"))
+
+
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links within the rules: on their page's origin or an alias host, by include and exclude patterns."""
+    rows = url_resolve_links(spark, sf_dir).join(_read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+    other = F.when(F.col("position") % 3 == 0, F.regexp_replace("target", "^https?://[^/]*", "http://CDN.example.org")).when(F.col("position") % 3 == 1, F.regexp_replace("target", "^http(s?)://", "ftp$1://")).otherwise(F.col("target"))
+    u = urls.url_parse("other")
+    allowed = predicates.url_allowed(F.col("other"), ["/[a-m]", "cdn"], ["TH"])
+    tested = predicates.in_scope(u, urls.url_parse("url"), ["https://cdn.example.org:8443/x"], True, allowed)
+    return rows.withColumn("other", other).filter(tested).select("page_id", "position", "other")
+
+
+def site_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons of detection, and whether to render a page, for every kind of site."""
+    rows = _shells(spark, sf_dir).withColumn("depth", (F.col("doc_id") % 2).cast("int")).withColumn("n", (F.col("doc_id") % 4).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("dynamic", "hybrid", "static", "static"))), F.col("n") + 1)
+    score = F.element_at(F.array(*map(F.lit, (9, 5, 3, 0))), F.col("n") + 1)
+    auto = render.should_render(F.col("html"), F.col("depth"), "auto", kind, score)
+    forced = render.should_render(F.col("html"), F.col("depth"), "dynamic", kind, score)
+    return rows.select("doc_id", F.array_join(detect.detect("html")["reasons"], "; ").alias("reasons"), auto.alias("auto"), forced.alias("forced"))
+
+
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' links enqueued: resolved, canonical, in scope, within depth, not visited, each once at its least depth."""
+    pages = _read(spark, sf_dir, "pages")
+    documents = pages.select(urls.canonical_key("url").alias("url"), F.lit("html").alias("kind"), (F.col("page_id") % 3).cast("int").alias("depth"), F.col("html").alias("body"))
+    found = links.document_links(documents)
+    visited = found.filter("depth = 0 AND href LIKE '/t%'").select(urls.resolve_key("base", "href").alias("url"))
+    frontier = spark.createDataFrame([], state.FRONTIER)
+    seed = "http://h.example/"
+    return links.enqueue_links(found, frontier, visited, seed, 2, same_host=False, allowed=lambda u: predicates.url_allowed(u, [], ["/THE"])).select("url", "depth", "status")
+
+
+def rewrite_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages rewritten for reading offline through the URL map, which gains the targets that it lacked."""
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), urls.canonical_key("url").alias("url"), paths.local_path(urls.url_parse("url")).alias("file_path"), "html")
+    url_map = pages.select("url", "file_path", F.lit("html").alias("kind"))
+    rewritten, _ = links.rewritten_pages(pages, url_map)
+    return rewritten.select("key", F.md5(F.col("html").cast("binary")).alias("html"))
+
+
+def rewrite_css(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style sheets of each document's own words, their references rewritten."""
+    word = F.regexp_extract(F.coalesce("text", F.lit("")), "([a-z]+)", 1)
+    d = F.col("doc_id").cast("string")
+    css = F.concat(F.lit("/* url(no.png) */ @import '"), word, F.lit(".css' screen; a{background:url("), word, d, F.lit(".png)} b{src:url('keep.woff')}"))
+    mapping = F.create_map(F.concat(word, F.lit(".css")), F.lit("./c.css"), F.concat(word, d, F.lit(".png")), F.concat(F.lit("./i/"), d))
+    return _read(spark, sf_dir, "documents").select("doc_id", rewrite.css_rewrite(css, mapping).alias("css"))
+
+
+def url_map_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping that knows every second target, with pending rows for the others."""
+    targets = url_resolve_links(spark, sf_dir).select(F.col("target").alias("url"), "page_id")
+    known = targets.filter("page_id % 2 = 0").select("url").distinct().select("url", F.lit("known").alias("file_path"), F.lit("html").alias("kind"))
+    return state.assign_paths(known, targets.select("url", paths.local_path(urls.url_parse("url")).alias("file_path")))
+
+
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frontier = frontier_enqueue(spark, sf_dir)
+    _, taken = state.dequeue(frontier, 20)
+    return state.counts(taken, visited_upsert(spark, sf_dir), errors_latest(spark, sf_dir))
+
+
+def frontier_dequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next twenty URLs by depth, age and URL, and the frontier with them in progress and some done."""
+    batch, taken = state.dequeue(frontier_enqueue(spark, sf_dir), 20)
+    done = batch.filter("added_at % 2 = 0").select("url", F.lit("done").alias("status"))
+    return state.mark(taken, done)
+
+
+def stagnation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rounds of interaction: where two poor rounds in a row end them."""
+    rows = _read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7 % 11).alias("growth"))
+    return events.stops_at(rows, "user_id", "growth", "event_id")
+
+
+def tapped_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last bodies of each page that are still held."""
+    rows = _read(spark, sf_dir, "events").select("user_id", "event_id")
+    return events.latest(rows, "user_id", 40, F.desc("event_id"))
+
+
+def network_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests of a page: when it has come to rest."""
+    rows = _read(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 37).alias("ms"), F.when(F.col("event_id") % 3 == 0, -2).otherwise(1).alias("change"))
+    flying = events.in_flight(rows, "user_id", "change", "event_id").withColumn("loaded", F.col("event_id") % 5 > 2)
+    return events.network_idle(flying, "user_id", "ms", 5000, "loaded", 1200, "event_id")
+
+
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: the most useful ones for JSON bodies of each page."""
+    e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("request_id"), "event_type")
+    tails = F.array(*map(F.lit, ("/api/x", "/list?page=2", "/d.JSON", "/graphql?cursor=a", "/plain", "")))
+    named = e.filter("request_id % 3 > 0").select("page", "request_id", F.concat(F.lit("http://h/"), F.col("event_type"), F.element_at(tails, (F.col("request_id") % 6 + 1).cast("int"))).alias("url"))
+    pages = e.select("page").distinct().select("page", F.concat(F.lit("http://h/p"), F.col("page").cast("string")).alias("page_url"))
+    return events.json_requests(e.select("page", "request_id"), named, pages, render.json_body_limit(50, False, 0))
+
+
+
 QUERIES = {f.__name__: f for f in (url_components, url_resolve_links, out_links_by_host, local_path, detect_site_kind, js_urls, robots, css_refs, frontier_enqueue, visited_upsert, errors_latest, circuit_breaker, in_flight, crawl_bfs, json_urls, json_paging, html_paging, runtime_signals, outcome_counters, manifest_files)}
+QUERIES |= {f.__name__: f for f in (probe_paths, link_weights, ignored_links, content_kinds, percent_codec, scope_filter, site_decisions, crawl_frontier, rewrite_html, rewrite_css, url_map_assign, state_counts, frontier_dequeue, stagnation, tapped_bodies, network_idle, json_requests)}
 
 _PARTS = """p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
   regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS raw, regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages),
@@ -203,3 +342,61 @@ SELECT user_id, max(k) AS longest, max(k) >= 3 AS tripped FROM n GROUP BY user_i
 t(url, depth) AS (SELECT * FROM (VALUES ('r0', 0), ('r1', 0)) UNION SELECT e.dst, t.depth + e.w FROM t JOIN e ON t.url = e.src WHERE t.depth + e.w <= 3)
 SELECT url, CAST(min(depth) AS INT) AS depth FROM t GROUP BY url""",
 }
+
+_HTML_EXT = "('', " + ", ".join(f"'{x}'" for x in predicates.HTML_EXTENSIONS) + ")"
+_ASSET_EXT = "(" + ", ".join(f"'{x}'" for x in predicates.ASSET_EXTENSIONS) + ")"
+_ENQUEUED = ORACLE_SQL["frontier_enqueue"].replace("WITH ", "", 1)
+
+ORACLE_SQL |= {
+    "probe_paths": f"""WITH b AS (SELECT unnest(string_split('{" ".join(sources.PROBE_BASES)}', ' ')) AS base, generate_subscripts(string_split('{" ".join(sources.PROBE_BASES)}', ' '), 1) AS i),
+s(j, suffix) AS (VALUES (0, ''), (1, '/'), (2, '.php'), (3, '.html'), (4, '/index.php'), (5, '/index.html')),
+o AS (SELECT unnest(string_split('{" ".join(sources.PROBE_OTHERS)}', ' ')) AS path, generate_subscripts(string_split('{" ".join(sources.PROBE_OTHERS)}', ' '), 1) AS j),
+p AS (SELECT base || suffix AS path, i * 100 + j AS place FROM b, s WHERE j < 2 OR NOT (ends_with(base, '.php') OR ends_with(base, '.html')) UNION ALL SELECT path, 1000000 + j FROM o)
+SELECT CAST(row_number() OVER (ORDER BY min(place)) - 1 AS INT) AS position, path FROM p GROUP BY path""",
+    "link_weights": f"""WITH {_PARTS}, {_LINKS}, n AS (SELECT *, page_id + position AS n FROM l), k AS (SELECT *, href || ['', '.html', '.PHP', '.css', '.js', '.png', '.unknown', '/'][n % 8 + 1] AS path, ['a', 'img', 'link', 'script', 'iframe', 'div'][n % 6 + 1] AS tag FROM n),
+e AS (SELECT *, lower(coalesce(list_extract(regexp_extract_all(path, '[^/][.]([^./]+)$', 1), 1), '')) AS ext FROM k)
+SELECT page_id, CAST(position AS INT) AS position, CAST(CASE WHEN n % 4 = 0 OR tag IN ('script', 'img') THEN 0 WHEN tag IN ('a', 'iframe') THEN 1 WHEN ext IN {_HTML_EXT} THEN 1 ELSE 0 END AS INT) AS link,
+  CAST(CASE WHEN ext IN {_ASSET_EXT} THEN 0 ELSE 1 END AS INT) AS script, CAST(CASE WHEN ext IN {_HTML_EXT} THEN 1 ELSE 0 END AS INT) AS json FROM e""",
+    "ignored_links": f"""WITH {_PARTS}, {_LINKS}, a2 AS (SELECT page_id, position, ['', 'mailto:', 'TEL:', 'javascript:', 'data:', 'blob:', 'about:', 'file:', 'ftp:', 'WS:', 'wss:', 'https:', ' javascript:', 'x-javascript:'][(page_id * 3 + position) % 14 + 1] || href AS address FROM l)
+SELECT page_id, CAST(position AS INT) AS position, address, lower(split_part(address, ':', 1)) IN ('mailto', 'tel', 'javascript', 'data', 'blob', 'about', 'file', 'ftp', 'ws', 'wss') AND contains(address, ':') AS ignored FROM a2""",
+    "content_kinds": """WITH b AS (SELECT 'page' AS of, page_id AS id, html AS body FROM pages UNION ALL SELECT 'document', doc_id, coalesce(text, '') FROM documents),
+m AS (SELECT of, id, lower(left(body, 2048)) AS head, ['', 'html', 'css', 'js', 'json', 'png', 'html'][id % 7 + 1] AS mime, ['', 'html', 'css', 'mjs', 'json', 'png'][id % 6 + 1] AS ext FROM b)
+SELECT of, id, CASE WHEN mime = 'html' OR (mime = '' AND ext = 'html') OR (mime <> 'css' AND regexp_matches(head, '<!doctype html|<html|<head|<body')) THEN 'html' WHEN 'css' IN (mime, ext) THEN 'css'
+  WHEN mime = 'js' OR ext = 'mjs' THEN 'js' WHEN 'json' IN (mime, ext) THEN 'json' ELSE 'asset' END AS kind FROM m""",
+    "percent_codec": """SELECT doc_id, md5(replace(replace(replace(url_encode(coalesce(text, '')), '%2F', '/'), '%3A', ':'), '%40', '@')) AS encoded, md5(coalesce(text, '')) AS decoded FROM documents""",
+    "scope_filter": f"""WITH {_PARTS}, {_LINKS}, o AS (SELECT page_id, position, origin, CASE position % 3 WHEN 0 THEN 'http://CDN.example.org' || href WHEN 1 THEN 'ftp' || substr(origin, 5) || href ELSE origin || href END AS other FROM l)
+SELECT page_id, CAST(position AS INT) AS position, other FROM o WHERE position % 3 <> 1 AND NOT contains(lower(other), 'th') AND (regexp_matches(lower(other), '/[a-m]') OR contains(lower(other), 'cdn'))""",
+    "site_decisions": f"""WITH h AS ({ORACLE_SQL["detect_site_kind"].split("h AS (", 1)[1].split("),\nc AS", 1)[0]}), c AS (SELECT doc_id, html, lower(html) AS low, doc_id % 7 AS a, doc_id % 10 + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS s,
+  octet_length(encode(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''))) AS v FROM h),
+r AS (SELECT *, contains(low, 'data-reactroot') OR contains(low, 'svelte') AS r1, contains(low, 'onclick') AS r2, contains(low, 'fetch(') AND s > 0 AS r3, contains(low, 'load more') AS hint FROM c),
+p AS (SELECT *, CASE WHEN r1 THEN 5 ELSE 0 END + CASE WHEN s >= 8 AND a <= 2 THEN 3 WHEN s >= 5 AND a <= 4 THEN 2 ELSE 0 END + CASE WHEN v < 250 AND s >= 4 THEN 2 ELSE 0 END + CASE WHEN r2 THEN 2 ELSE 0 END + CASE WHEN r3 THEN 2 ELSE 0 END + CASE WHEN s > 0 AND a < 2 AND v < 300 THEN 1 ELSE 0 END AS n FROM r)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN r1 THEN '{detect.REASONS[0]}' END, CASE WHEN s >= 8 AND a <= 2 THEN '{detect.REASONS[2]}' WHEN s >= 5 AND a <= 4 THEN '{detect.REASONS[3]}' END, CASE WHEN v < 250 AND s >= 4 THEN '{detect.REASONS[4]}' END,
+  CASE WHEN r2 THEN '{detect.REASONS[6]}' END, CASE WHEN r3 THEN '{detect.REASONS[7]}' END, CASE WHEN s > 0 AND a < 2 AND v < 300 THEN '{detect.REASONS[8]}' END], lambda x: x IS NOT NULL), '; ') AS reasons,
+  CASE doc_id % 4 WHEN 0 THEN doc_id % 2 = 0 OR hint OR n >= 2 OR s > 0 WHEN 1 THEN hint OR n >= 2 WHEN 2 THEN hint OR n >= 3 ELSE n >= 3 END AS auto, doc_id % 2 = 0 OR hint AS forced FROM p""",
+    "crawl_frontier": f"""WITH {_PARTS}, {_LINKS}, d AS (SELECT origin || href AS url, href, page_id % 3 AS depth FROM l)
+SELECT url, CAST(min(depth) + 1 AS INT) AS depth, 'pending' AS status FROM d WHERE depth < 2 AND NOT contains(lower(url), '/the') AND url NOT IN (SELECT url FROM d WHERE depth = 0 AND starts_with(href, '/t')) GROUP BY url""",
+    "rewrite_html": f"""WITH {_PARTS}, f AS (SELECT *, 'site/' || host || CASE WHEN path LIKE '%/' THEN path || 'index.html' WHEN NOT regexp_matches(path, '[^/][.][^./]+$') THEN path || '/index.html' ELSE path END AS file FROM q),
+{_LINKS.replace("FROM q", "FROM f").replace("a AS (SELECT page_id, origin,", "a AS (SELECT page_id, origin, file, host,").replace("SELECT page_id, origin, unnest", "SELECT page_id, origin, file, host, unnest")},
+u AS (SELECT DISTINCT page_id, href, string_split(file, '/')[:-2] AS here, string_split('site/' || host || href || '/index.html', '/') AS there FROM l),
+w AS (SELECT page_id, href, coalesce(list_min(list_filter(range(1, len(here) + 1), lambda k: here[k] IS DISTINCT FROM there[k] OR k > len(there) - 1)), len(here) + 1) - 1 AS common, here, there FROM u),
+n AS (SELECT page_id, href, CASE WHEN len(here) = common THEN './' ELSE repeat('../', len(here) - common) END || array_to_string(there[common + 1:], '/') AS new FROM w),
+s AS (SELECT page_id, list('="' || href || '"' ORDER BY href) AS old, list('="' || new || '"' ORDER BY href) AS new FROM n GROUP BY page_id),
+t AS (SELECT q.page_id, q.html, coalesce(old, []) AS old, coalesce(new, []) AS new FROM q LEFT JOIN s USING (page_id))
+SELECT page_id AS key, md5(list_reduce(list_prepend(html, list_transform(range(1, len(old) + 1), lambda k: k::VARCHAR)), lambda x, k: replace(x, old[k::INT], new[k::INT]))) AS html FROM t""",
+    "rewrite_css": """WITH w AS (SELECT doc_id, regexp_extract(coalesce(text, ''), '([a-z]+)', 1) AS w FROM documents)
+SELECT doc_id, '/* url(no.png) */ @import "./c.css"; a{background:url("./i/' || doc_id || '")} b{src:url(''keep.woff'')}' AS css FROM w""",
+    "url_map_assign": f"""WITH {_PARTS}, {_LINKS}, t AS (SELECT page_id, origin || href AS url, 'site/' || regexp_extract(origin, '://(.*)', 1) || href || '/index.html' AS path FROM l)
+SELECT url, CASE WHEN bool_or(page_id % 2 = 0) THEN 'known' ELSE min(path) END AS file_path, CASE WHEN bool_or(page_id % 2 = 0) THEN 'html' ELSE 'pending' END AS kind FROM t GROUP BY url""",
+    "state_counts": f"""WITH n AS (WITH {_ENQUEUED}) SELECT (SELECT greatest(count(*) - 20, 0) FROM n) AS pending, (SELECT count(DISTINCT user_id) FROM events) AS visited, (SELECT least(count(*), 100) FROM events) AS errors""",
+    "frontier_dequeue": f"""WITH n AS (WITH {_ENQUEUED}), k AS (SELECT *, row_number() OVER (ORDER BY depth, added_at, url) AS k FROM n)
+SELECT url, depth, CASE WHEN k > 20 THEN 'pending' WHEN added_at % 2 = 0 THEN 'done' ELSE 'in_progress' END AS status, added_at FROM k""",
+    "stagnation": """WITH g AS (SELECT user_id, event_id, event_id * 7 % 11 < 3 AS poor, lag(event_id * 7 % 11 < 3) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+SELECT user_id, min(event_id) AS stops_at FROM g WHERE poor AND before GROUP BY user_id""",
+    "tapped_bodies": """SELECT user_id, event_id FROM (SELECT user_id, event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.event_id > e.event_id) AS later FROM events e) WHERE later < 40""",
+    "network_idle": """WITH f AS (SELECT user_id, event_id, event_id * 37 AS ms, sum(CASE WHEN event_id % 3 = 0 THEN -2 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+g AS (SELECT *, (SELECT min(o.ms) FROM f o WHERE o.user_id = f.user_id AND o.event_id > f.event_id) AS later, (SELECT min(o.ms) FROM f o WHERE o.user_id = f.user_id) AS first FROM f)
+SELECT user_id, min(ms) AS idle_from FROM g WHERE n <= 0 AND (later IS NULL OR later >= ms + 5000) AND (event_id % 5 > 2 OR ms >= first + 1200) GROUP BY user_id""",
+    "json_requests": """WITH r AS (SELECT user_id AS page, event_id AS request_id, CASE WHEN event_id % 3 > 0 THEN 'http://h/' || event_type || ['/api/x', '/list?page=2', '/d.JSON', '/graphql?cursor=a', '/plain', ''][event_id % 6 + 1] ELSE 'http://h/p' || user_id END AS url FROM events),
+s AS (SELECT *, CASE event_id6 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 2 WHEN 3 THEN 9 ELSE 0 END * (request_id % 3 > 0)::INT AS score FROM (SELECT *, request_id % 6 AS event_id6 FROM r)),
+p AS (SELECT page, request_id, url, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY page ORDER BY score DESC, request_id) AS INT) AS place FROM s) SELECT * FROM p WHERE place <= 25""",
+}
