@@ -54,8 +54,9 @@ LINK = "array<struct<url:string,attribute:string,tag:string,is_stylesheet:boolea
 
 
 def tags(html: Column | str) -> Column:
-    """Start tags in order, each a struct of name and raw attributes (name, value); comments and raw text skipped."""
-    found = groups(F.regexp_replace(col(html), RAW_TEXT, "$1"), START_TAG, 0)
+    """Start tags that have attributes, in order, each a struct of name and attributes (name, value); comments and raw
+    text are skipped."""
+    found = F.filter(groups(F.regexp_replace(col(html), RAW_TEXT, "$1"), START_TAG, 0), lambda t: F.contains(t, F.lit("=")))
 
     def attributes(tag: Column) -> Column:
         raw = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s>/]+", ""), F.lit(ATTRIBUTE), F.lit(0))
