@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import slices, small_batches, table, texts_of, written
 
-BLOCK, PERCENTILE, CACHED = 256, 90, 800_000
+BLOCK, PERCENTILE, CACHED = 256, 90, 1_200_000
 END_ID = 2
 END = END_ID.to_bytes(4, "little")
 #: The cut at white space that the tokenizer makes.
@@ -89,9 +89,7 @@ class Encoder:
             if ODD.search(t):
                 ids = self._whole(t)
             else:
-                words = PRE_TOKEN.findall(t)
-                self._learn(set(words).difference(self.cache))
-                ids = b"".join(map(self.cache.__getitem__, words))
+                ids = b"".join(self._known(PRE_TOKEN.findall(t)))
             out[i] = np.frombuffer(ids + END, "<u4")
         return out
 
@@ -108,8 +106,7 @@ class Encoder:
         present[slot] = True
         used, names = np.flatnonzero(present), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         keys = [names[k >> 1] if k & 1 else " " + names[k >> 1] for k in used.tolist()]
-        self._learn({k for k in keys if k not in self.cache})
-        found = [*map(self.cache.__getitem__, keys), self.line, END]
+        found = [*self._known(keys), self.line, END]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), "<u4")
         after = np.full(len(line_ends), len(used))
@@ -124,6 +121,16 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        found = list(map(self.cache.get, words))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        if absent:
+            self._learn({words[i] for i in absent})
+        for i in absent:
+            found[i] = self.cache[words[i]]
+        return found
+
     def _learn(self, missing: set[str]) -> None:
         """Words are cut into parts, which other words share; new parts are encoded."""
         whole = {w for w in missing if LETTERS.fullmatch(w) or not PLAIN.fullmatch(w)}
@@ -193,13 +200,21 @@ def pack(ids: np.ndarray, documents: int = 0) -> bytes:
 
 def _blocks(segment: bytes, start: np.ndarray, heads: np.ndarray, w: int, size: int) -> np.ndarray:
     """The ids of blocks of one width and size that start at these bytes, one row each; heads: minimum, exceptions."""
-    length = (size * w + 7) // 8
-    v = np.zeros((len(start), size), "<u4")
+    length, groups = (size * w + 7) // 8, -(-size // 8)
+    v = np.zeros((len(start), groups * 8), "<u4")
     if w:
-        data = np.frombuffer(segment, np.uint8)[start[:, None] + 9 + np.arange(length)]
-        wide = np.zeros((len(start), size, 32), np.uint8)
-        wide[:, :, :w] = np.unpackbits(data, axis=1, count=size * w, bitorder="little").reshape(len(start), size, w)
-        v = np.packbits(wide, axis=2, bitorder="little").view("<u4")[:, :, 0].copy()
+        # Eight values take w whole bytes; value j of each eight is put together from the bytes that hold its bits.
+        data = np.zeros((len(start), groups * w), np.uint8)
+        data[:, :length] = np.frombuffer(segment, np.uint8)[start[:, None] + 9 + np.arange(length)]
+        column = np.ascontiguousarray(data.reshape(-1, w).T, np.uint64)
+        eights = v.reshape(-1, 8)
+        for j in range(8):
+            first, last = j * w // 8, ((j + 1) * w - 1) // 8
+            value = column[first].copy()
+            for k in range(first + 1, last + 1):
+                value |= column[k] << np.uint64(8 * (k - first))
+            eights[:, j] = value >> np.uint64(j * w % 8) & np.uint64((1 << w) - 1)
+    v = v[:, :size]
     for row, at, many in zip(v, (start + 9 + length).tolist(), heads[:, 1].tolist(), strict=True):
         if many:
             row[np.frombuffer(segment, "<u2", many, at)] = np.frombuffer(segment, "<u4", many, at + 2 * many)
