@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .hard_negatives import SQL as NEGATIVES_SQL
+from .hard_negatives import op13_hard_negatives
 from .html_main import op3_html_text
+from .importance import SQL as RESAMPLING_SQL
+from .importance import op12_resampling
 from .langid import op9_langid
 from .media import op5_media
 from .mixing import SQL as MIXING_SQL
@@ -13,6 +17,7 @@ from .quality import op1_quality
 from .token_counts import op4_token_counts
 from .token_files import op10_token_files
 from .toxicity import op2_toxicity
+from .winnowing import op11_winnowing
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -25,6 +30,9 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_langid": op9_langid,
     "op10_token_files": op10_token_files,
+    "op11_winnowing": op11_winnowing,
+    "op12_resampling": op12_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op6_mixing": MIXING_SQL}
+ORACLE_SQL = {"op6_mixing": MIXING_SQL, "op12_resampling": RESAMPLING_SQL, "op13_hard_negatives": NEGATIVES_SQL}
