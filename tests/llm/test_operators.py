@@ -141,17 +141,32 @@ def test_html_of_ordinary_pages():
     assert text('<div><p class="share">x<p>Next real paragraph</div>') == "Next real paragraph"
     assert text("<ul><li class=ad>x<li>kept</ul><table><tr><td class=widget>y<td>cell</table>") == "kept cell"
     assert text('<div class="cookie-notice">a</div><div class="site-nav">b</div><div id=related-posts>c</div>d') == "d"
+    assert text('<article><p>One</p><p title="5" tall">Two</p><p title="a>b">Three</p></article>') == "One Two Three"
+    assert text('<article>a <span class="ad">buy <span>now</span></span>b <a class="nav-link" href=x>home</a><i class="comment">c</i></article>') == "a b c"
+    assert text('<article><span class="promo">never closed<p>next</p><p hidden>x</p><p style="color:red; display: none">y</p><p title="hidden">z</p></article>') == "next z"
     long = " ".join(f"w{i}" for i in range(60000))
     assert text(f"<article>{long}</article>") == long
 
 
-def test_html_against_brute_force(spark):
-    """The query's texts on the small table: each page's article, by another reading of the same html."""
+def test_html_keeps_chance_repeats_in_articles(spark):
+    """A line on a third of a host's pages stays, and a heading stays however often it stands there; empty tables are no case."""
+    line, head = "the same line of eight or more plain words", "one heading that all of the pages of this host have"
+    body = lambda i: " ".join(f"u{i}w{k}" for k in range(20))
+    rows = [(i, f"http://n.x/{i}", f"<article><h1>{head}</h1><p>{body(i)}</p>" + (f"<p>{line}</p>" if i % 3 == 0 else "") + "</article>") for i in range(15)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in html_main.extract(pages).collect())
+    assert got == [(i, f"{head} {body(i)}" + (f" {line}" if i % 3 == 0 else "")) for i in range(15)]
+    assert html_main.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.1"])
+def test_html_against_brute_force(spark, folder):
+    """The query's texts: each page's article, by another reading of the same html."""
     import html as html_lib
     import re
 
-    rows = {r["page_id"]: r for r in table(spark, FOLDER, "pages").collect()}
-    got = html_main.op3_html_text(spark, FOLDER).collect()
+    rows = {r["page_id"]: r for r in table(spark, folder, "pages").collect()}
+    got = html_main.op3_html_text(spark, folder).collect()
     assert len(got) == len(rows)
     for r in got:
         article = re.search(r"<article>(.*?)(?:</article>|$)", rows[r["page_id"]]["html"] or "", re.S)

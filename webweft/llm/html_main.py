@@ -11,7 +11,7 @@ that begins or ends within a block at most GAP - 1 words at that end are not cov
 part stands decides:
 
 - outside an article, what stands on two pages is boilerplate;
-- inside an article (or main) element, what stands on MANY pages and on at least SHARE of the host's;
+- inside an article (or main) element, what stands on MANY pages and on at least SHARE of the host's, and is no heading;
 - a text that repeats nearly whole is a copy of another page's, not boilerplate around a text of its own: of an article
   covered to COPIED nothing goes, and a page without an article that is covered to COPIED_PAGE is judged as articles are.
 
@@ -50,7 +50,7 @@ RUN = 8
 #: Of so many suffixes in a row one stays in the array.
 GAP = 6
 #: Inside an article a run must stand on so many pages, and on this share of the host's.
-MANY, SHARE = 3, 0.2
+MANY, SHARE = 3, 0.5
 #: Share of an article, and of a page without one, from which on it is a copy.
 COPIED, COPIED_PAGE = 0.5, 0.9
 #: Pages and characters of a suffix array.
@@ -59,12 +59,13 @@ PAGES, BLOCK_CHARS = 256, 2_400_000
 HELD = 2_000_000
 #: Parts of a host's run hashes that meet in one place each, at most; a host of fewer blocks has as many parts as blocks.
 BUCKETS = 4096
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<\Z", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<\Z", re.S | re.I)
 #: Elements that never hold main text.
 FURNITURE = frozenset("head title nav footer aside form button select option menu dialog header".split())
 CONTENT = frozenset(("article", "main"))
 #: Elements around everything: their classes tell of the page, not of what is in them.
 AROUND = frozenset(("html", "body", "article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr del img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that a start tag ends.
@@ -80,9 +81,14 @@ ENDS = {
 ROLE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names of a class, id or role that mark furniture, and words that may stand beside them in a name of several words.
 FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related share sharing social cookie cookies consent notice newsletter subscribe popup modal comment comments disqus replies complementary contentinfo search toolbar".split())
-BESIDE = frozenset("site page main top bottom left right global primary secondary bar box list area section block wrapper container inner posts links form signup slot unit buttons icons".split())
+BESIDE = frozenset("site page main top bottom left right global primary secondary bar box list area section block wrapper container inner posts links form signup slot unit buttons icons link item".split())
+#: Of an inline element these names say nothing: code is marked up with them too.
+NOT_INLINE = frozenset(("comment", "comments", "search", "header"))
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+NOT_SHOWN = re.compile(r"\bstyle\s*=\s*[\"'][^\"']*\bdisplay\s*:\s*none", re.I)
 PART = re.compile(r"[-_]+")
-PLAIN, ARTICLE, OUT = 0, 1, 2
+PLAIN, ARTICLE, OUT, HEADING = 0, 1, 2, 3
 #: The mark at a block's border.
 BORDER = "\n"
 
@@ -94,8 +100,14 @@ def _names_furniture(name: str) -> bool:
     return len(words) > 1 and not FURNITURE_NAMES.isdisjoint(words) and all(w in FURNITURE_NAMES or w in BESIDE for w in words)
 
 
-def _marks_furniture(attributes: str) -> bool:
-    return any(_names_furniture(name) for a, b, c in ROLE.findall(attributes) for name in (a or b or c).lower().split()) if attributes else False
+def _marks_furniture(attributes: str, but: frozenset[str] = frozenset()) -> bool:
+    return any(name not in but and _names_furniture(name) for a, b, c in ROLE.findall(attributes) for name in (a or b or c).lower().split()) if attributes else False
+
+
+def _is_hidden(attributes: str) -> bool:
+    if not attributes:
+        return False
+    return bool("hidden" in attributes.lower() and HIDDEN.search(QUOTED.sub("", attributes)) or NOT_SHOWN.search(attributes))
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -104,12 +116,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
     open_tags: list[tuple[str, bool]] = []
     text: list[str] = []
     at = furniture = articles = 0
+    #: The inline element that is left out, and how many of its name are open in it.
+    left_out, depth = "", 0
 
     def flush() -> None:
+        nonlocal left_out
+        left_out = ""
         joined = " ".join(html_lib.unescape("".join(text)).split())
         text.clear()
         if joined:
-            out.append((OUT if furniture else ARTICLE if articles else PLAIN, joined))
+            inside = HEADING if open_tags and open_tags[-1][0] in HEADINGS else ARTICLE
+            out.append((OUT if furniture else inside if articles else PLAIN, joined))
 
     def close() -> str:
         nonlocal furniture, articles
@@ -119,10 +136,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
         return tag
 
     for m in TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not left_out:
             text.append(page[at : m.start()])
         at = m.end()
         name = (m[3] or m[1] or "").lower()
+        if name in INLINE and not left_out and not m[2] and name not in VOID and (_marks_furniture(m[4], NOT_INLINE) or _is_hidden(m[4])):
+            left_out, depth = name, 1
+        elif name and name == left_out:
+            depth += -1 if m[2] else 1
+            left_out = left_out if depth else ""
         if not name or name in INLINE:
             continue
         flush()
@@ -134,14 +156,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
             if name in VOID:
                 continue
             # A header element inside an article is the article's own heading.
-            marks = (name in FURNITURE and not (name == "header" and articles)) or (name not in AROUND and _marks_furniture(m[4]))
+            marks = (name in FURNITURE and not (name == "header" and articles)) or (name not in AROUND and (_marks_furniture(m[4]) or _is_hidden(m[4])))
             open_tags.append((name, marks))
             furniture += marks
             articles += name in CONTENT
         elif any(t == name for t, _ in open_tags):
             while close() != name:
                 pass
-    text.append(page[at:])
+    if not left_out:
+        text.append(page[at:])
     flush()
     return out
 
