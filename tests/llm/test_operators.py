@@ -460,6 +460,34 @@ def test_every_byte_of_long_words_is_read():
     assert model.predict(texts[:2])[0] == ["one", "two"]
 
 
+def test_forward_backward_by_words_equals_segments():
+    rng = np.random.default_rng(1)
+    emission, trans, ptr = rng.standard_normal((400, 5)), rng.standard_normal((5, 5)), np.array([0, 130, 130, 131, 400])
+    assert np.allclose(langid._walked_sums(emission, ptr, trans), langid.marginal_sums(emission, ptr, trans), atol=1e-8)
+    assert langid._walked_sums(np.zeros((0, 5)), np.array([0, 0]), trans).tolist() == [[0] * 5]
+
+
+@pytest.mark.parametrize("many", [1, 2, 200])
+def test_every_language_is_learned(many):
+    """However few words a language has; a document of one word is enough."""
+    rng = random.Random(many)
+    words = {f"l{c:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöüéñ", k=7)) for _ in range(1 if c == 0 else 12)] for c in range(many)}
+    model = langid.fit([(" ".join(w), lang) for lang, w in words.items() for _ in range(2)], steps=60 if many < 9 else 25)
+    assert model.languages == list(words)
+    found, score = model.predict(pa.array([" ".join(w) for w in words.values()]))
+    assert found == list(words) and (score > 1 / many - 1e-9).all()
+
+
+def test_small_language_beside_large_ones(spark):
+    """Five short texts of a language that only they have, beside the small table's four languages; no text at all."""
+    docs = table(spark, FOLDER, "documents").filter("doc_id < 400").select("doc_id", "text", "lang")
+    small = [(100_000 + i, f"hyvää huomenta kaikille ystäville {w}", "fi") for i, w in enumerate(("tänään", "huomenna", "eilen", "yöllä", "aamulla"))]
+    model = langid.train(docs.unionByName(spark.createDataFrame(small, docs.schema)), F.lit(True), per_language=60)
+    assert "fi" in model.languages and model.predict(pa.array([t for _, t, _ in small]))[0] == ["fi"] * 5
+    empty = langid.train(docs.limit(0), F.lit(True))
+    assert [r["lang_pred"] for r in langid.predict(docs.limit(1), empty).collect()] == ["und"] and langid.predict(docs.limit(0), model).count() == 0
+
+
 def test_forward_backward_against_brute_force():
     rng = np.random.default_rng(0)
     emission, trans, ptr = rng.standard_normal((150, 3)), rng.standard_normal((3, 3)), np.array([0, 0, 1, 130, 150])

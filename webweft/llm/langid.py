@@ -5,11 +5,16 @@ the word's emission for each language, and learned transitions join neighbours.
 texts without spaces, are read as a sequence of overlapping pieces of 16 bytes: no byte is left out. Forward-backward gives each word's
 language probabilities; a document's language is the one with the largest mean probability, its score that mean.
 
-Long documents are cut into segments whose 4x4-like transfer matrices are multiplied, so that the result is the exact
-forward-backward over the whole text while numpy works on all segments of a batch at once.
+Long documents are cut into segments whose transfer matrices are multiplied, so that the result is the exact
+forward-backward over the whole text while numpy works on all segments of a batch at once. With more languages than
+WIDE_FROM such matrices would be larger than what they are made from; then the words are walked one after the other, all
+documents of a batch at once. The more languages, the smaller the batches; the model has 2**BITS weights for each.
+
+Every language that has a word in the sample is learned: sequences of languages with few words repeat them.
 
 Defined cases: a null text or one without a letter is `und` with score 0; repeated rows get equal results; without any
-training text every document is `und`. Columns other than doc_id, text and (for training) lang are ignored.
+training text every document is `und`; an empty table gives an empty result. Columns other than doc_id, text and (for
+training) lang are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ from .textvec import Words, mix
 BITS = 16
 #: Bound of the training sample: so many documents of each language.
 TRAIN_DOCS_PER_LANGUAGE = 250
+#: Bound of the training sample over all languages, but for FEWEST documents that each language has at least.
+TRAIN_DOCS, FEWEST = 5000, 4
+#: Languages from which on no transfer matrices are made.
+WIDE_FROM = 24
 #: Words of a training sequence and of a segment.
 SEGMENT = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -90,6 +99,8 @@ class LanguageModel:
 def marginal_sums(emission: np.ndarray, ptr: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Sum over each sequence's words of the label probabilities, by forward-backward over the whole sequence."""
     k, lengths = transitions.shape[0], np.diff(ptr)
+    if k >= WIDE_FROM:
+        return _walked_sums(emission, ptr, transitions)
     out = np.zeros((len(lengths), k))
     segments = -(-lengths // SEGMENT)
     owner = np.repeat(np.arange(len(lengths)), segments)
@@ -137,6 +148,30 @@ def marginal_sums(emission: np.ndarray, ptr: np.ndarray, transitions: np.ndarray
     return out
 
 
+def _walked_sums(emission: np.ndarray, ptr: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """The same word by word, longest sequence first, so that those still running are the first rows."""
+    k, lengths = transitions.shape[0], np.diff(ptr)
+    order = np.argsort(-lengths, kind="stable")
+    begin, size = ptr[:-1][order], lengths[order]
+    running = [int(np.searchsorted(-size, -s)) for s in range(int(size.max(initial=0)) + 1)]  # longer than s
+    t = np.exp(transitions - transitions.max())
+    x = lambda at: np.exp(emission[at] - emission[at].max(1, keepdims=True))
+    forward = np.zeros_like(emission)
+    a = np.full((len(size), k), 1.0 / k)
+    for s in range(len(running) - 1):
+        at = begin[: running[s]] + s
+        step = (a[: running[s]] @ t) * x(at)
+        a[: running[s]] = forward[at] = step / step.sum(1, keepdims=True)
+    out, b = np.zeros((len(size), k)), np.full((len(size), k), 1.0 / k)
+    for s in range(len(running) - 2, -1, -1):
+        at = begin[: running[s]] + s
+        p = forward[at] * b[: running[s]]
+        out[order[: running[s]]] += p / p.sum(1, keepdims=True)
+        step = (b[: running[s]] * x(at)) @ t.T
+        b[: running[s]] = step / step.sum(1, keepdims=True)
+    return out
+
+
 def _gradient(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the log likelihood of full sequences (batch, length, labels) for emissions and transitions."""
     n, size, k = e.shape
@@ -150,9 +185,9 @@ def _gradient(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.ndarr
     pair = np.zeros((k, k))
     for s in range(size - 2, -1, -1):
         right = x[:, s + 1] * b[s + 1]
-        joint = f[s][:, :, None] * t * right[:, None, :]
-        pair += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         a = right @ t.T
+        # The probabilities of neighbouring labels, summed over the batch.
+        pair += t * ((f[s] / (f[s] * a).sum(1, keepdims=True)).T @ right)
         b[s] = a / a.sum(1, keepdims=True)
     p = f * b
     p /= p.sum(2, keepdims=True)
@@ -164,21 +199,21 @@ def _gradient(e: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[np.ndarr
 
 def fit(sample: list[tuple[str, str]], steps: int = 150, batch: int = 64, seed: int = 5) -> LanguageModel:
     """Adagrad on the likelihood of word labels; half of the sequences are spliced from two languages (code-switched)."""
-    languages = sorted({lang for _, lang in sample})
+    words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string()))).pieces(_WIDE)
+    many = np.diff(words.ptr)
+    languages = sorted({lang for (_, lang), n in zip(sample, many, strict=True) if n})
     k = len(languages)
     weights, trans = np.zeros((1 << BITS, k)), np.zeros((k, k))
     if k == 0:
         return LanguageModel([], weights, trans)
     draw = np.random.default_rng(seed)
-    words = Words(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string()))).pieces(_WIDE)
-    label = np.repeat([languages.index(lang) for _, lang in sample], np.diff(words.ptr))
+    number = {lang: c for c, lang in enumerate(languages)}
+    label = np.repeat(np.array([number.get(lang, 0) for _, lang in sample], np.int64), many)
     _, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
     feats = word_features(words, first) if len(first) else np.zeros((0, 1), int)
     size = 24
     by_lang = [np.flatnonzero(label == c) for c in range(k)]
-    by_lang = [x for x in by_lang if len(x) >= size]
-    if not by_lang:
-        return LanguageModel(languages, weights, trans)
+    by_lang = [x if len(x) >= size else np.resize(x, size) for x in by_lang]
     g_w, g_t = np.full_like(weights, 1e-6), np.full_like(trans, 1e-6)
     for _ in range(steps):
         rows = []
@@ -194,23 +229,26 @@ def fit(sample: list[tuple[str, str]], steps: int = 150, batch: int = 64, seed:
         idx = np.array(rows)
         f = feats[back[idx]]
         de, dt = _gradient(weights[f].sum(2), label[idx], trans)
-        grad = np.zeros_like(weights)
-        flat = f.reshape(-1, f.shape[2])
-        np.add.at(grad, flat.ravel(), np.repeat(de.reshape(-1, k), f.shape[2], 0))
-        grad[0] = 0
-        grad = grad / batch - 1e-4 * weights
+        # Only the weights of the batch's features move.
+        rows, at = np.unique(f, return_inverse=True)
+        grad = np.stack([np.bincount(at.ravel(), np.repeat(de[:, :, c].ravel(), f.shape[2]), len(rows)) for c in range(k)], 1)
+        grad = grad / batch - 1e-4 * weights[rows]
+        grad[rows == 0] = 0
         dt = dt / batch - 1e-3 * trans
-        g_w += grad**2
+        g_w[rows] += grad**2
         g_t += dt**2
-        weights += 0.2 * grad / np.sqrt(g_w)
+        weights[rows] += 0.2 * grad / np.sqrt(g_w[rows])
         trans += 0.1 * dt / np.sqrt(g_t)
     weights[0] = 0
     return LanguageModel(languages, weights.astype(np.float32), trans)
 
 
 def train(documents: DataFrame, training_rows: Column, per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> LanguageModel:
-    """Fit on about per_language rows of each language; of rows of one doc_id and language the least text counts."""
+    """Fit on about per_language rows of each language, fewer if there are many; of rows of one doc_id and language the
+    least text counts."""
     known = documents.filter(training_rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    languages = known.agg(F.count_distinct("lang")).first()[0]
+    per_language = max(FEWEST, min(per_language, TRAIN_DOCS // max(1, languages)))
     chosen = F.broadcast(bounded_sample(known, "lang", per_language).distinct())
     texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"])
     rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
@@ -220,10 +258,11 @@ def train(documents: DataFrame, training_rows: Column, per_language: int = TRAIN
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights for each language
+    most = (1 << 19) * 16 // max(16, len(model.languages))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, most=1 << 19):
+            for part in slices(batch, most=most):
                 lang, value = shared.value.predict(texts_of(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(value, pa.float64())], ["doc_id", "lang_pred", "score"])
 
