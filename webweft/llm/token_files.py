@@ -53,7 +53,7 @@ UNEVEN = r"[ \n]{2}|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{20
 #: Words that go to the library as one text; longer texts take it more time a word.
 TOGETHER = 64
 #: Bytes of text that are cut and looked up at a time.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 SEGMENT_SCHEMA = "range int, segment int, before long, n_ids long, doc_ids array<long>, lengths array<int>, bytes binary"
 
 
@@ -296,6 +296,7 @@ def read(segments: DataFrame) -> DataFrame:
     places = totals.select("range", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 
     def run(batches):
+        _encoder.cache_clear()  # a worker that reads needs no words
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
