@@ -60,7 +60,7 @@ def test_links_of_every_kind(spark):
     documents = spark.createDataFrame(rows, "url string, kind string, depth int, body string")
     found = links.document_links(documents)
     got = {(r["href"], r["origin"], r["weight"]) for r in found.collect()}
-    assert got == {("p", "element", 1), ("i.png", "element", 0), ("s.css", "element", 0), ("u.gif", "style", 0), ("/api/v", "script", 1), ("http://h/x/?page=1", "paging", 0), ("http://h/x/?page=3", "paging", 0), ("b.css", "style", 0), ("c.png", "style", 0), ("./n.js", "script", 0), ("/go", "script", 1)}
+    assert got == {("p", "element", 1), ("i.png", "element", 0), ("s.css", "element", 0), ("u.gif", "style", 0), ("/api/v", "script", 1), ("http://h/x/?page=3", "paging", 1), ("b.css", "style", 0), ("c.png", "style", 0), ("./n.js", "script", 0), ("/go", "script", 1)}
     body = '{"items": ["/i.png", "/p/1"], "next": "/l?page=2", "page": 1, "total_pages": 3}'
     json = links.json_links(spark.createDataFrame([("http://h/l", "json", 1, body)], documents.schema))
     assert {(r["href"], r["weight"]) for r in json.collect()} >= {("/i.png", 0), ("/p/1", 1), ("http://h/l?page=2", 0), ("http://h/l?page=3", 0)}

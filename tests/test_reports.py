@@ -18,6 +18,17 @@ def test_json_awkward(spark):
     assert json_walk.json_urls(json_walk.leaves(bodies.limit(0))).count() == 0
 
 
+def test_deep_json_beside_good_json(spark):
+    """A body of hundreds of levels neither fails the query nor loses leaves; one deeper than the parser reads has none."""
+    deep = lambda n: "[" * n + '"/deep.html", {"next": "/n"}' + "]" * n
+    bodies = spark.createDataFrame([(1, '{"a": "/x.png", "b": [1, "/y"]}'), (2, deep(110)), (3, deep(320)), (4, deep(3000)), (5, None)], "id int, body string")
+    found = sorted((r["id"], r["key"], len(r["place"]), r["text"]) for r in json_walk.leaves(bodies).collect())
+    want = [(1, "a", 1, "/x.png"), (1, "b", 2, "/y"), (1, "b", 2, "1")]
+    want += [row for i, n in ((2, 110), (3, 320)) for row in ((i, "", n, "/deep.html"), (i, "next", n + 1, "/n"))]
+    assert found == sorted(want)
+    assert [(r["id"], r["position"], r["url"]) for r in json_walk.json_urls(json_walk.leaves(bodies)).orderBy("id", "position").collect()] == [(1, 0, "/x.png"), (1, 1, "/y"), (2, 0, "/deep.html"), (2, 1, "/n"), (3, 0, "/deep.html"), (3, 1, "/n")]
+
+
 def test_config():
     made = CrawlConfig.from_profile("deep", url="http://h/", output="o", depth=1)
     assert (made.depth, made.concurrency, made.probing, made.render_mode) == (1, 12, True, "auto")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ascii_lower, col, contains_any
+from .text import ascii_lower, col, contains_any, let
 
 #: Marks of client-side frameworks, and of paging by scripts.
 HYDRATION = ("__next_data__", 'id="__next"', "id='__next'", 'id="__nuxt"', "id='__nuxt'", "window.__nuxt__", "data-reactroot", "webpackchunk", "vite/client", "ng-version", "astro-island", "svelte")
@@ -44,31 +44,41 @@ def site_kind(score: Column) -> Column:
 def detect(html: Column | str) -> Column:
     """Struct of kind, score, reasons (in the order of the rules), static_anchors, scripts, visible_bytes, static_bytes."""
     h = col(html)
-    low, anchors, scripts, seen = ascii_lower(h), anchor_count(h), script_count(h), visible_bytes(h)
-    has = lambda needle: F.contains(low, F.lit(needle))
-    points = (
-        F.when(contains_any(low, HYDRATION), 5).otherwise(0)
-        + F.when(has("enable javascript") & has("<noscript"), 2).otherwise(0)
-        + F.when((scripts >= 8) & (anchors <= 2), 3).when((scripts >= 5) & (anchors <= 4), 2).otherwise(0)
-        + F.when((seen < 250) & (scripts >= 4), 2).otherwise(0)
-        + F.when(has("application/ld+json") & (scripts >= 5) & (seen < 400), 1).otherwise(0)
-        + F.when(contains_any(low, INTERACTION), 2).otherwise(0)
-        + F.when(contains_any(low, NETWORK) & (scripts >= 1), 2).otherwise(0)
-        + F.when((scripts >= 1) & (anchors <= 1) & (seen < 300), 1).otherwise(0)
+    # The page in small letters is made once, each mark looked for once, and what is found used for points and reasons.
+    has = lambda low, needle: F.contains(low, F.lit(needle))
+    marks = lambda low: F.struct(
+        contains_any(low, HYDRATION).alias("hydration"),
+        (has(low, "enable javascript") & has(low, "<noscript")).alias("warned"),
+        has(low, "application/ld+json").alias("structured"),
+        contains_any(low, INTERACTION).alias("interaction"),
+        contains_any(low, NETWORK).alias("network"),
     )
-    rules = (
-        (contains_any(low, HYDRATION), REASONS[0]),
-        (has("enable javascript") & has("<noscript"), REASONS[1]),
-        ((scripts >= 8) & (anchors <= 2), REASONS[2]),
-        ((scripts >= 5) & (anchors <= 4) & ~((scripts >= 8) & (anchors <= 2)), REASONS[3]),
-        ((seen < 250) & (scripts >= 4), REASONS[4]),
-        (has("application/ld+json") & (scripts >= 5) & (seen < 400), REASONS[5]),
-        (contains_any(low, INTERACTION), REASONS[6]),
-        (contains_any(low, NETWORK) & (scripts >= 1), REASONS[7]),
-        ((scripts >= 1) & (anchors <= 1) & (seen < 300), REASONS[8]),
-    )
-    reasons = F.array_compact(F.array(*(F.when(rule, F.lit(reason)) for rule, reason in rules)))
-    return F.struct(site_kind(points).alias("kind"), points.alias("score"), reasons.alias("reasons"), anchors.alias("static_anchors"), scripts.alias("scripts"), seen.alias("visible_bytes"), F.octet_length(h).alias("static_bytes"))
+    counts = F.struct(let(ascii_lower(h), marks).alias("m"), anchor_count(h).alias("anchors"), script_count(h).alias("scripts"), visible_bytes(h).alias("seen"), F.octet_length(h).alias("size"))
+
+    def judged(c: Column) -> Column:
+        m, anchors, scripts, seen = c["m"], c["anchors"], c["scripts"], c["seen"]
+        few = (scripts >= 8) & (anchors <= 2)
+        rules = (
+            (m["hydration"], 5),
+            (m["warned"], 2),
+            (few, 3),
+            ((scripts >= 5) & (anchors <= 4) & ~few, 2),
+            ((seen < 250) & (scripts >= 4), 2),
+            (m["structured"] & (scripts >= 5) & (seen < 400), 1),
+            (m["interaction"], 2),
+            (m["network"] & (scripts >= 1), 2),
+            ((scripts >= 1) & (anchors <= 1) & (seen < 300), 1),
+        )
+        points = F.array(*(F.when(rule, n).otherwise(0) for rule, n in rules))
+
+        def told(p: Column) -> Column:
+            score = F.aggregate(p, F.lit(0), lambda a, x: a + x)
+            reasons = F.array_compact(F.array(*(F.when(F.get(p, F.lit(k)) > 0, F.lit(reason)) for k, reason in enumerate(REASONS))))
+            return F.struct(site_kind(score).alias("kind"), score.alias("score"), reasons.alias("reasons"), anchors.alias("static_anchors"), scripts.alias("scripts"), seen.alias("visible_bytes"), c["size"].alias("static_bytes"))
+
+        return let(points, told)
+
+    return let(counts, judged)
 
 
 def refine(found: Column, rendered: Column) -> Column:

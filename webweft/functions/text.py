@@ -25,7 +25,8 @@ def let(value: Column, body) -> Column:
 
 
 def contains_any(c: Column, needles: list[str] | tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(c, F.lit(n)) for n in needles))
+    """Whether any needle is found; what is searched is worked out once."""
+    return let(c, lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(n)) for n in needles)))
 
 
 def contains_icase(c: Column | str, needle: str) -> Column:

@@ -6,22 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scan
 
-def in_flight(events: DataFrame, page: str, change: str, *order: str) -> DataFrame:
-    """Adds in_flight: the running sum of +1 (request) and -1 (response or failure) of a page."""
-    run = Window.partitionBy(page).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("in_flight", F.sum(change).over(run))
-
-
-def first_idle(events: DataFrame, page: str, ts: str, idle_ms: int, *order: str) -> DataFrame:
-    """For each page the first time from which nothing is in flight for idle_ms. events: page, ts (ms), in_flight."""
-    following = F.lead(ts).over(Window.partitionBy(page).orderBy(*order))
-    quiet = events.withColumn("_next", following).filter((F.col("in_flight") <= 0) & (F.col("_next").isNull() | (F.col("_next") - F.col(ts) >= idle_ms)))
-    return quiet.groupBy(page).agg(F.min(ts).alias("idle_from"))
 
-
-def top_requests(requests: DataFrame, k: int) -> DataFrame:
-    return requests.orderBy(F.desc("score"), "request_id").limit(k)
+def in_flight(events: DataFrame, page: str, change: str, *order: str) -> DataFrame:
+    """Adds in_flight: the running sum of +1 (request) and -1 (response or failure) of a page, however many a page has."""
+    return scan.running_sums(events, [page], list(order), {"in_flight": change})
 
 
 #: Addresses, JSON bodies and requests that are kept of a page, tapped bodies in memory.
@@ -59,12 +49,11 @@ def network_idle(events: DataFrame, page: str, ts: str, idle_ms: int, loaded: st
 
 def stops_at(rounds: DataFrame, page: str, growth: str, order: str, least: int = 3, rounds_in_a_row: int = 2) -> DataFrame:
     """The round after which interaction stops: the end of so many rounds in a row that found fewer than `least`."""
-    before = Window.partitionBy(page).orderBy(order)
-    poor = (F.col(growth) < least).cast("int")
-    run = F.sum(1 - poor).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = rounds.withColumn("_poor", poor).withColumn("_run", run)
-    length = F.sum("_poor").over(Window.partitionBy(page, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return counted.withColumn("_length", length).filter(F.col("_length") >= rounds_in_a_row).groupBy(page).agg(F.min(order).alias("stops_at"))
+    poor = F.coalesce((F.col(growth) < least).cast("int"), F.lit(0))
+    marked = rounds.select(page, order, poor.alias("_poor"), (1 - poor).alias("_good"))
+    runs = scan.running_sums(marked, [page], [order], {"_run": "_good"})
+    counted = scan.running_sums(runs, [page, "_run"], [order], {"_length": "_poor"})
+    return counted.filter(F.col("_length") >= rounds_in_a_row).groupBy(page).agg(F.min(order).alias("stops_at"))
 
 
 def latest(rows: DataFrame, page: str, most: int, *order) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from webweft.functions import urls
 from webweft.functions.predicates import likely_url
 from webweft.functions.text import ascii_lower
+from webweft.operators.shared import written
 
 #: Keys of the next page's URL, of the present page and of the last one.
 NEXT_KEYS = ("next", "next_page", "nextpage", "next_page_url", "nextpageurl")
@@ -19,21 +20,35 @@ CURRENT_KEYS = ("page", "current_page", "currentpage")
 TOTAL_KEYS = ("total_pages", "totalpages", "last_page", "lastpage", "pages", "pagecount")
 
 
-def leaves(bodies: DataFrame, levels: int = 100) -> DataFrame:
+#: Levels that one recursive query walks; what lies deeper is walked by the next.
+LEVELS = 80
+
+
+def leaves(bodies: DataFrame) -> DataFrame:
     """bodies: id, body. Strings and whole numbers with their key: id, place (sorts in the order of the walk), key, kind, text.
 
-    Bodies nested deeper than `levels` fail the query rather than lose leaves.
+    However deep a body is nested, as far as Spark reads it (to 1000 levels; deeper ones are no JSON to it): every LEVELS
+    levels what is left is handed to another query. The walk is written, so that ordinary bodies take one.
     """
     spark = bodies.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     walk = f"""
-        WITH RECURSIVE w(id, place, key, value) MAX RECURSION LEVEL {levels} AS (
-          SELECT id, CAST(array() AS array<int>), '', try_parse_json(body) FROM {{bodies}}
+        WITH RECURSIVE w(id, level, place, key, value) MAX RECURSION LEVEL {LEVELS + 2} AS (
+          SELECT id, 0, place, key, try_parse_json(body) FROM {{rows}}
           UNION ALL
-          SELECT w.id, concat(w.place, array(e.pos)), coalesce(e.key, w.key), e.value FROM w, LATERAL variant_explode(w.value) AS e)
-        SELECT id, place, key, schema_of_variant(value) AS kind, CAST(value AS string) AS text
-        FROM w WHERE schema_of_variant(value) IN ('STRING', 'BIGINT')"""
-    return spark.sql(walk, bodies=bodies.select("id", "body"))
+          SELECT w.id, w.level + 1, concat(w.place, array(e.pos)), coalesce(e.key, w.key), e.value FROM w, LATERAL variant_explode(w.value) AS e WHERE w.level < {LEVELS})
+        SELECT id, place, key, schema_of_variant(value) AS kind, CAST(CASE WHEN schema_of_variant(value) IN ('STRING', 'BIGINT') THEN value END AS string) AS text,
+          CASE WHEN level = {LEVELS} AND (schema_of_variant(value) LIKE 'ARRAY%' OR schema_of_variant(value) LIKE 'OBJECT%') THEN to_json(value) END AS rest
+        FROM w WHERE schema_of_variant(value) IN ('STRING', 'BIGINT') OR level = {LEVELS}"""
+    rows = bodies.select("id", F.lit("").alias("key"), F.array().cast("array<int>").alias("place"), "body")
+    found = None
+    while rows is not None:
+        walked = written(spark.sql(walk, rows=rows), "leaves")
+        own = walked.filter("kind IN ('STRING', 'BIGINT')").drop("rest")
+        found = own if found is None else found.unionByName(own)
+        rest = walked.filter("rest IS NOT NULL")
+        rows = None if rest.isEmpty() else rest.select("id", "key", "place", F.col("rest").alias("body"))
+    return found
 
 
 def _numbered(found: DataFrame) -> DataFrame:

@@ -27,15 +27,15 @@ def html_found(html: Column, base: Column, paging: int) -> Column:
     elements = F.transform(extract.html_links(html), lambda x: F.struct(x["url"].alias("url"), F.lit("element").alias("origin"), predicates.link_weight(x["tag"], x["is_stylesheet"], x["is_script"], _path(base, x["url"])).cast("int").alias("weight")))
     styles = _as(extract.inline_css_urls(html), "style", lambda u: F.lit(0))
     scripts = _as(extract.inline_js_urls(html), "script", lambda u: predicates.script_weight(_path(base, u)))
-    numbers = F.transform(extract.page_numbers(html, paging), lambda n: urls.with_page(base, n))
-    return F.concat(F.coalesce(elements, none), styles, scripts, _as(numbers, "paging", lambda u: F.lit(0)))
+    numbers = F.transform(F.filter(extract.page_numbers(html, paging), lambda n: n > 1), lambda n: urls.with_page(base, n))
+    return F.concat(F.coalesce(elements, none), styles, scripts, _as(numbers, "paging", lambda u: F.lit(1)))
 
 
 def document_links(documents: DataFrame, paging: int = 50) -> DataFrame:
     """Links of documents by their kind: url, depth, base, href, origin, weight.
 
-    documents: url (canonical), kind, depth, body. A page's base element moves its base; links of style sheets and
-    numbered pages cost no depth. JSON bodies are walked apart, by `json_links`.
+    documents: url (canonical), kind, depth, body. A page's base element moves its base; links of style sheets
+    cost no depth, numbered pages one as other pages do. JSON bodies are walked apart, by `json_links`.
     """
     parsed = urls.url_parse("url")
     moved = extract.base_href("body")

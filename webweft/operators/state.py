@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scan
+
 FRONTIER = "url string, depth int, status string, added_at long"
 
 
@@ -59,10 +61,9 @@ def circuit_breaker(outcomes: DataFrame, key: str, limit: int = 3) -> DataFrame:
 
 
 def add_errors(errors: DataFrame, new: DataFrame) -> DataFrame:
-    """Errors with new ones (url, error, at) numbered after the last."""
-    last = errors.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))  # one row
-    order = Window.orderBy("at", "url", "error")
-    numbered = new.join(F.broadcast(last)).withColumn("id", F.col("_last") + F.row_number().over(order))
+    """Errors with new ones (url, error, at) numbered after the last, in the order of at, url and error."""
+    last = errors.agg(F.max("id")).first()[0] or 0
+    numbered = scan.numbered(new.select("url", "error", "at"), ["at", "url", "error"], "id").withColumn("id", F.col("id") + last)
     return errors.unionByName(numbered.select(*errors.columns))
 
 

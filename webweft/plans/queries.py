@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from webweft.functions import detect, extract, paths, predicates, render, rewrite, urls
 from webweft.operators import events, json_walk, links, report, state
+from webweft.operators.shared import written
+from webweft.plans import site_crawl
 from webweft.plans.crawl import crawl_depths
 from webweft.sources import pages as sources
 
@@ -38,7 +40,7 @@ def local_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shells(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    html = F.concat(F.repeat(F.lit('<script src="a.js"></script>'), (d % 10).cast("int")), F.repeat(F.lit('<a href="/x">x</a>'), (d % 7).cast("int")), F.when(d % 3 == 0, "<div data-reactroot></div>").when(d % 3 == 1, "<button onclick=go()>load more</button>").otherwise("<script>fetch('/api')</script>"), F.when(d % 2 == 0, F.col("text")).otherwise(""))
+    html = F.concat(F.repeat(F.lit('<script src="a.js"></script>'), (d % 10).cast("int")), F.repeat(F.lit('<a href="/x">x</a>'), (d % 7).cast("int")), F.when(d % 3 == 0, "<div data-reactroot></div>").when(d % 3 == 1, "<button onclick=go()>load more</button>").otherwise("<script>fetch('/api')</script>"), F.coalesce("text", F.lit("")))
     return _read(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
 
 
@@ -75,9 +77,12 @@ def visited_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1"), "user_id", F.col("event_id"))
 
 
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("error"), F.unix_timestamp("ts").alias("at"))
+
+
 def errors_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("error"), F.unix_timestamp("ts").alias("at"))
-    return state.latest_errors(rows, 100)
+    return state.latest_errors(_errors(spark, sf_dir), 100)
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +222,41 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.enqueue_links(found, frontier, visited, seed, 2, same_host=False, allowed=lambda u: predicates.url_allowed(u, [], ["/THE"])).select("url", "depth", "status")
 
 
+def crawl_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(seeds, responses) made of the pages: beside each page its host's robots file and sitemap (every third page), and
+    answers for what its links lead to: missing, failing, moved to the host's first page, a list of pages, or none."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", urls.canonical_key("url").alias("url"), "html")
+    pages = pages.groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("url", "p.page_id", "p.html")
+    pages = written(pages.withColumn("origin", F.regexp_extract("url", "^[^:]+://[^/?#]*", 0)), "pages")
+    answer = lambda status, kind, final, body: [F.lit(status).alias("status_code"), F.lit(kind).alias("content_type"), final.alias("final_url"), body.alias("body"), F.lit("").alias("error")]
+    own = pages.select("url", *answer(200, "text/html; charset=utf-8", F.col("url"), F.col("html")))
+    some = lambda n: F.sort_array(F.collect_list(F.when(F.col("page_id") % 3 == n, F.replace("url", F.lit("&"), F.lit("&amp;")))))
+    hosts = pages.groupBy("origin").agg(F.min(F.struct("url", "html")).alias("first"), some(0).alias("listed"), some(1).alias("linked"))
+    robots = hosts.select(F.concat("origin", F.lit("/robots.txt")).alias("url"), *answer(200, "text/plain", F.concat("origin", F.lit("/robots.txt")), F.concat(F.lit("User-agent: *\nDisallow: /x\nSitemap: "), "origin", F.lit("/sitemap.xml # all\n"))))
+    locs = F.array_join(F.transform("listed", lambda u: F.concat(F.lit("<url><loc> "), u, F.lit(" </loc></url>"))), "")
+    maps = hosts.select(F.concat("origin", F.lit("/sitemap.xml")).alias("url"), *answer(200, "application/xml", F.concat("origin", F.lit("/sitemap.xml")), F.concat(F.lit("<urlset>"), locs, F.lit("</urlset>"))))
+    hrefs = pages.select("origin", F.explode(F.regexp_extract_all("html", F.lit('<nav>.*?</nav>'), F.lit(0))).alias("nav")).select("origin", F.explode(F.regexp_extract_all("nav", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+    ends = hrefs.join(hosts, "origin").withColumns({"url": F.concat("origin", "href"), "n": F.length("href") % 5})
+    listing = F.concat(F.lit("<base href='/'>"), F.array_join(F.transform("linked", lambda u: F.concat(F.lit("<area href="), u, F.lit(">"))), ""))
+    gone = ends.filter("n = 0").select("url", *answer(404, "text/html", F.col("url"), F.lit("no")))
+    down = ends.filter("n = 1").select("url", *answer(503, "text/html", F.col("url"), F.lit("later")))
+    moved = ends.filter("n = 2").select("url", *answer(200, "", F.concat("first.url", F.lit("#top")), F.col("first.html")))
+    lists = ends.filter("n = 3").select("url", *answer(200, "text/html", F.col("url"), listing))
+    responses = own.unionByName(robots).unionByName(maps).unionByName(gone).unionByName(down).unionByName(moved).unionByName(lists)
+    seeds = robots.select("url").unionByName(hosts.select("first.url"))
+    return seeds, written(responses, "responses")
+
+
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl of all hosts to depth 2: every URL found, its least depth, what became of it and why, and what it is."""
+    seeds, responses = crawl_corpus(spark, sf_dir)
+    state = site_crawl.crawl(spark, seeds, responses, site_crawl.Rules(max_depth=2))
+    visited = state.read("visited").select("url", "final_url")
+    kinds = site_crawl.url_map(state).select(F.col("url").alias("final_url"), "kind")
+    known = visited.join(kinds, "final_url", "left")
+    return site_crawl.frontier(state).join(known, "url", "left").select("url", "depth", "status", "reason", "final_url", "kind")
+
+
 def rewrite_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages rewritten for reading offline through the URL map, which gains the targets that it lacked."""
     pages = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), urls.canonical_key("url").alias("url"), paths.local_path(urls.url_parse("url")).alias("file_path"), "html")
@@ -244,7 +284,7 @@ def url_map_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     frontier = frontier_enqueue(spark, sf_dir)
     _, taken = state.dequeue(frontier, 20)
-    return state.counts(taken, visited_upsert(spark, sf_dir), errors_latest(spark, sf_dir))
+    return state.counts(taken, visited_upsert(spark, sf_dir), _errors(spark, sf_dir))
 
 
 def frontier_dequeue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +324,7 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (url_components, url_resolve_links, out_links_by_host, local_path, detect_site_kind, js_urls, robots, css_refs, frontier_enqueue, visited_upsert, errors_latest, circuit_breaker, in_flight, crawl_bfs, json_urls, json_paging, html_paging, runtime_signals, outcome_counters, manifest_files)}
-QUERIES |= {f.__name__: f for f in (probe_paths, link_weights, ignored_links, content_kinds, percent_codec, scope_filter, site_decisions, crawl_frontier, rewrite_html, rewrite_css, url_map_assign, state_counts, frontier_dequeue, stagnation, tapped_bodies, network_idle, json_requests)}
+QUERIES |= {f.__name__: f for f in (probe_paths, link_weights, ignored_links, content_kinds, percent_codec, scope_filter, site_decisions, crawl_frontier, crawl_pages, rewrite_html, rewrite_css, url_map_assign, state_counts, frontier_dequeue, stagnation, tapped_bodies, network_idle, json_requests)}
 
 _PARTS = """p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
   regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS raw, regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages),
@@ -314,7 +354,7 @@ SELECT *, CASE WHEN added >= 5 THEN 'dynamic' WHEN added >= 2 THEN 'hybrid' ELSE
   WHEN regexp_matches(path, '[.](php|asp|aspx|jsp)$') THEN regexp_replace(path, '[.][a-z]+$', '.html') ELSE path END AS named FROM q)
 SELECT page_id, 'site/' || host || CASE WHEN query = '' THEN named ELSE regexp_replace(named, '([.][^.]*)$', '__q_' || left(md5(query), 8) || '\\1') END AS path FROM f""",
     "detect_site_kind": """WITH h AS (SELECT doc_id, repeat('<script src="a.js"></script>', CAST(doc_id % 10 AS INT)) || repeat('<a href="/x">x</a>', CAST(doc_id % 7 AS INT)) ||
-  CASE doc_id % 3 WHEN 0 THEN '<div data-reactroot></div>' WHEN 1 THEN '<button onclick=go()>load more</button>' ELSE '<script>fetch(''/api'')</script>' END || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END AS html FROM documents),
+  CASE doc_id % 3 WHEN 0 THEN '<div data-reactroot></div>' WHEN 1 THEN '<button onclick=go()>load more</button>' ELSE '<script>fetch(''/api'')</script>' END || coalesce(text, '') AS html FROM documents),
 c AS (SELECT doc_id, html, lower(html) AS low, doc_id % 7 AS anchors, doc_id % 10 + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS scripts,
   octet_length(encode(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''))) AS seen FROM h),
 s AS (SELECT *, CASE WHEN contains(low, 'data-reactroot') OR contains(low, 'svelte') THEN 5 ELSE 0 END
@@ -375,6 +415,19 @@ SELECT doc_id, array_to_string(list_filter([CASE WHEN r1 THEN '{detect.REASONS[0
   CASE doc_id % 4 WHEN 0 THEN doc_id % 2 = 0 OR hint OR n >= 2 OR s > 0 WHEN 1 THEN hint OR n >= 2 WHEN 2 THEN hint OR n >= 3 ELSE n >= 3 END AS auto, doc_id % 2 = 0 OR hint AS forced FROM p""",
     "crawl_frontier": f"""WITH {_PARTS}, {_LINKS}, d AS (SELECT origin || href AS url, href, page_id % 3 AS depth FROM l)
 SELECT url, CAST(min(depth) + 1 AS INT) AS depth, 'pending' AS status FROM d WHERE depth < 2 AND NOT contains(lower(url), '/the') AND url NOT IN (SELECT url FROM d WHERE depth = 0 AND starts_with(href, '/t')) GROUP BY url""",
+    "crawl_pages": f"""WITH RECURSIVE {_PARTS}, d AS (SELECT canonical AS url, min(page_id) AS page_id, arg_min(html, page_id) AS html, any_value(origin) AS origin FROM q GROUP BY canonical),
+first AS (SELECT origin, min(url) AS first FROM d GROUP BY origin),
+a AS (SELECT url, origin, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM d),
+ends AS (SELECT DISTINCT origin, href, origin || href AS url, length(href) % 5 AS n FROM a),
+edges AS (SELECT url AS src, origin || href AS dst, 1 AS w FROM a
+  UNION ALL SELECT e.url, a.origin || a.href, 1 FROM ends e JOIN first f ON e.origin = f.origin JOIN a ON a.url = f.first WHERE n = 2
+  UNION ALL SELECT e.url, d.url, 1 FROM ends e JOIN d ON e.origin = d.origin WHERE n = 3 AND page_id % 3 = 1),
+walk(url, depth) AS (SELECT url, 0 FROM (SELECT first AS url FROM first UNION SELECT origin || '/robots.txt' FROM first UNION SELECT origin || '/sitemap.xml' FROM first UNION SELECT url FROM d WHERE page_id % 3 = 0)
+  UNION SELECT dst, depth + w FROM walk JOIN edges ON walk.url = edges.src WHERE depth + w <= 2),
+least AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url),
+known AS (SELECT url, -1 AS n, url AS final_url, 'html' AS kind FROM d UNION ALL SELECT origin || unnest(['/robots.txt', '/sitemap.xml']), -1, origin || unnest(['/robots.txt', '/sitemap.xml']), 'asset' FROM first
+  UNION ALL SELECT e.url, n, CASE n WHEN 2 THEN first WHEN 3 THEN e.url END, CASE WHEN n IN (2, 3) THEN 'html' END FROM ends e JOIN first USING (origin) WHERE e.url NOT IN (SELECT url FROM d))
+SELECT url, CAST(depth AS INT) AS depth, CASE n WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' WHEN 4 THEN 'failed' ELSE 'done' END AS status, CASE n WHEN 0 THEN 'HTTP 404' WHEN 1 THEN 'HTTP 503' WHEN 4 THEN 'Unknown fetch error' END AS reason, final_url, kind FROM least LEFT JOIN known USING (url)""",
     "rewrite_html": f"""WITH {_PARTS}, f AS (SELECT *, 'site/' || host || CASE WHEN path LIKE '%/' THEN path || 'index.html' WHEN NOT regexp_matches(path, '[^/][.][^./]+$') THEN path || '/index.html' ELSE path END AS file FROM q),
 {_LINKS.replace("FROM q", "FROM f").replace("a AS (SELECT page_id, origin,", "a AS (SELECT page_id, origin, file, host,").replace("SELECT page_id, origin, unnest", "SELECT page_id, origin, file, host, unnest")},
 u AS (SELECT DISTINCT page_id, href, string_split(file, '/')[:-2] AS here, string_split('site/' || host || href || '/index.html', '/') AS there FROM l),
@@ -387,7 +440,7 @@ SELECT page_id AS key, md5(list_reduce(list_prepend(html, list_transform(range(1
 SELECT doc_id, '/* url(no.png) */ @import "./c.css"; a{background:url("./i/' || doc_id || '")} b{src:url(''keep.woff'')}' AS css FROM w""",
     "url_map_assign": f"""WITH {_PARTS}, {_LINKS}, t AS (SELECT page_id, origin || href AS url, 'site/' || regexp_extract(origin, '://(.*)', 1) || href || '/index.html' AS path FROM l)
 SELECT url, CASE WHEN bool_or(page_id % 2 = 0) THEN 'known' ELSE min(path) END AS file_path, CASE WHEN bool_or(page_id % 2 = 0) THEN 'html' ELSE 'pending' END AS kind FROM t GROUP BY url""",
-    "state_counts": f"""WITH n AS (WITH {_ENQUEUED}) SELECT (SELECT greatest(count(*) - 20, 0) FROM n) AS pending, (SELECT count(DISTINCT user_id) FROM events) AS visited, (SELECT least(count(*), 100) FROM events) AS errors""",
+    "state_counts": f"""WITH n AS (WITH {_ENQUEUED}) SELECT (SELECT greatest(count(*) - 20, 0) FROM n) AS pending, (SELECT count(DISTINCT user_id) FROM events) AS visited, (SELECT count(*) FROM events) AS errors""",
     "frontier_dequeue": f"""WITH n AS (WITH {_ENQUEUED}), k AS (SELECT *, row_number() OVER (ORDER BY depth, added_at, url) AS k FROM n)
 SELECT url, depth, CASE WHEN k > 20 THEN 'pending' WHEN added_at % 2 = 0 THEN 'done' ELSE 'in_progress' END AS status, added_at FROM k""",
     "stagnation": """WITH g AS (SELECT user_id, event_id, event_id * 7 % 11 < 3 AS poor, lag(event_id * 7 % 11 < 3) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
