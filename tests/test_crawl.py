@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webweft.functions import dom
-from webweft.operators import scan, snapshots
+from webweft.operators import patterns, scan, snapshots
 from webweft.operators.shared import new_folder
 from webweft.plans import site_crawl
 from webweft.plans.site_crawl import Rules
@@ -215,3 +215,36 @@ def test_elements_links_and_sql(spark):
     assert rows(named, "id", "tag", "v") == [(1, "a", "/p")]
     with pytest.raises(ValueError):
         dom.elements(pages.withColumn("depth", F.lit(1)))
+
+
+@pytest.mark.parametrize(
+    "pattern, sure",
+    [
+        ("/admin", ["/admin"]), ("^https?://X\\.y/A+b", ["http", "://x.y/a", "b"]), ("a|b", []), ("(a|b)cd[e]f?g", ["cd", "g"]), ("abc*d", ["ab", "d"]), ("ab{2,3}c", ["a", "c"]), ("\\d+page", ["page"]), ("(?x)a b", []),
+        ("[]a]bcd", ["bcd"]), ("[^]a]bcd", ["bcd"]), ("x.y", ["x", "y"]), ("\\x41bc", []), ("", []), ("ab+?c", ["ab", "c"]), ("\\Qa.b\\E", []), ("(a[)]b)cde", ["cde"]),
+    ],
+)
+def test_literals_of_patterns(pattern, sure):
+    assert patterns.literals(pattern) == sure
+
+
+def test_patterns_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcde/.0", k=n))
+    addresses = [f"http://h{i % 7}.x/{word(rng.randint(0, 14))}{'Q' * (i % 3)}" for i in range(400)]
+    rules = [(rng.choice(("include", "exclude")), p) for p in {word(3).replace(".", "[.]") for _ in range(60)} | {f"{word(4)}?x*q+$" for _ in range(9)} | {"^https?://h3", "h[12]\\.x/a", "ab|cd", "[0-9]{2}", "q{2}$", "zzzz"}]
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(addresses)], "id int, url string")
+    table = spark.createDataFrame([*rules, ("include", "")], "option string, pattern string")
+    import re
+
+    want = {(u, o, p) for u in set(addresses) for o, p in rules if re.search(p, u, re.I)}
+    assert rows(patterns.matches(urls, table), "url", "option", "pattern") == sorted(want, key=str)
+    known = patterns.indexed(table)
+    assert patterns.candidates(urls, known).count() < len(set(addresses)) * known.filter("size(grams) > 0").count() / 4
+    ok = [i for i, u in enumerate(addresses) if any(o == "include" and re.search(p, u, re.I) for o, p in rules) and not any(o == "exclude" and re.search(p, u, re.I) for o, p in rules)]
+    assert [r["id"] for r in patterns.allowed(urls, table).orderBy("id").collect()] == ok
+    only = table.filter("option = 'exclude'")
+    assert patterns.allowed(urls, only).count() == sum(not any(o == "exclude" and re.search(p, u, re.I) for o, p in rules) for u in addresses)
+    with pytest.raises(ValueError, match='exclude: "[(]a"'):
+        patterns.matches(urls, spark.createDataFrame([("exclude", "(a")], "option string, pattern string"))
+    assert patterns.matches(urls.limit(0), table).count() == 0

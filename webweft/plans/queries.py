@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webweft.functions import detect, extract, paths, predicates, render, rewrite, urls
-from webweft.operators import events, json_walk, links, report, state
+from webweft.operators import events, json_walk, links, patterns, report, state
 from webweft.operators.shared import written
 from webweft.plans import site_crawl
 from webweft.plans.crawl import crawl_depths
@@ -201,6 +201,16 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("other", other).filter(tested).select("page_id", "position", "other")
 
 
+def pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All targets of links against a table of patterns made of every tenth page's words; which patterns match which."""
+    found = written(url_resolve_links(spark, sf_dir).select("page_id", "href", F.col("target").alias("url")), "targets")
+    word = F.regexp_extract("href", "^/([a-z]{3,})$", 1)
+    rules = found.filter("page_id % 10 = 0").select(word.alias("w")).filter("w <> ''").distinct()
+    named = rules.select(F.when(F.length("w") % 2 == 0, "include").otherwise("exclude").alias("option"), F.concat(F.lit("/"), F.left("w", F.lit(5)), F.lit("[A-Z]*$")).alias("pattern"))
+    plain = spark.createDataFrame([("exclude", "[0-9]{3}"), ("include", "(the|and)$"), ("include", "[.]NET/.*e?st"), ("exclude", "")], "option string, pattern string")
+    return patterns.matches(found, named.unionByName(plain))
+
+
 def site_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons of detection, and whether to render a page, for every kind of site."""
     rows = _shells(spark, sf_dir).withColumn("depth", (F.col("doc_id") % 2).cast("int")).withColumn("n", (F.col("doc_id") % 4).cast("int"))
@@ -324,7 +334,7 @@ def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (url_components, url_resolve_links, out_links_by_host, local_path, detect_site_kind, js_urls, robots, css_refs, frontier_enqueue, visited_upsert, errors_latest, circuit_breaker, in_flight, crawl_bfs, json_urls, json_paging, html_paging, runtime_signals, outcome_counters, manifest_files)}
-QUERIES |= {f.__name__: f for f in (probe_paths, link_weights, ignored_links, content_kinds, percent_codec, scope_filter, site_decisions, crawl_frontier, crawl_pages, rewrite_html, rewrite_css, url_map_assign, state_counts, frontier_dequeue, stagnation, tapped_bodies, network_idle, json_requests)}
+QUERIES |= {f.__name__: f for f in (probe_paths, link_weights, ignored_links, content_kinds, percent_codec, scope_filter, pattern_rules, site_decisions, crawl_frontier, crawl_pages, rewrite_html, rewrite_css, url_map_assign, state_counts, frontier_dequeue, stagnation, tapped_bodies, network_idle, json_requests)}
 
 _PARTS = """p AS (SELECT page_id, url, html, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
   regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS raw, regexp_extract(url, '[?]([^#]*)', 1) AS query, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages),
@@ -406,6 +416,10 @@ SELECT of, id, CASE WHEN mime = 'html' OR (mime = '' AND ext = 'html') OR (mime
     "percent_codec": """SELECT doc_id, md5(replace(replace(replace(url_encode(coalesce(text, '')), '%2F', '/'), '%3A', ':'), '%40', '@')) AS encoded, md5(coalesce(text, '')) AS decoded FROM documents""",
     "scope_filter": f"""WITH {_PARTS}, {_LINKS}, o AS (SELECT page_id, position, origin, CASE position % 3 WHEN 0 THEN 'http://CDN.example.org' || href WHEN 1 THEN 'ftp' || substr(origin, 5) || href ELSE origin || href END AS other FROM l)
 SELECT page_id, CAST(position AS INT) AS position, other FROM o WHERE position % 3 <> 1 AND NOT contains(lower(other), 'th') AND (regexp_matches(lower(other), '/[a-m]') OR contains(lower(other), 'cdn'))""",
+    "pattern_rules": f"""WITH {_PARTS}, {_LINKS}, t AS (SELECT page_id, href, origin || href AS url FROM l), w AS (SELECT DISTINCT regexp_extract(href, '^/([a-z]{{3,}})$', 1) AS w FROM t WHERE page_id % 10 = 0),
+r AS (SELECT CASE WHEN length(w) % 2 = 0 THEN 'include' ELSE 'exclude' END AS option, '/' || left(w, 5) || '[A-Z]*$' AS pattern FROM w WHERE w <> ''
+  UNION SELECT * FROM (VALUES ('exclude', '[0-9]{{3}}'), ('include', '(the|and)$'), ('include', '[.]NET/.*e?st')))
+SELECT DISTINCT url, option, pattern FROM t, r WHERE regexp_matches(url, '(?i)' || pattern)""",
     "site_decisions": f"""WITH h AS ({ORACLE_SQL["detect_site_kind"].split("h AS (", 1)[1].split("),\nc AS", 1)[0]}), c AS (SELECT doc_id, html, lower(html) AS low, doc_id % 7 AS a, doc_id % 10 + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS s,
   octet_length(encode(replace(regexp_replace(html, '<[^>]*(>|$)', '', 'g'), '>', ''))) AS v FROM h),
 r AS (SELECT *, contains(low, 'data-reactroot') OR contains(low, 'svelte') AS r1, contains(low, 'onclick') AS r2, contains(low, 'fetch(') AND s > 0 AS r3, contains(low, 'load more') AS hint FROM c),
