@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .predicates import likely_url
-from .text import ascii_lower, any_of, col, group, groups, trim_space
+from .text import ascii_lower, col, groups, let, trim_space
 from .urls import should_ignore
 
 #: Attributes with a URL, by tag.
@@ -107,13 +107,9 @@ def html_links(html: Column | str) -> Column:
     return F.filter(F.flatten(F.transform(tags(html), of_tag)), lambda x: x["url"] != "")
 
 
-#: Fixed value: what a quoted address in a handler begins with, in any case; it holds no quote, space or backslash.
-HANDLER_STARTS = ("https?://", "//", "/", r"\./", r"\.\./")
-
-
 def handler_urls(code: Column) -> Column:
-    """Quoted addresses in the code of an event handler."""
-    return groups(code, rf"""(?i)["']((?:{"|".join(HANDLER_STARTS)})[^"'\\\s]+)["']""")
+    """Quoted addresses in the code of an event handler: what the last of the script patterns finds."""
+    return groups(code, SCRIPT_PATTERNS[-1])
 
 
 def base_href(html: Column | str) -> Column:
@@ -150,9 +146,19 @@ def css_urls(css: Column | str) -> Column:
     return F.transform(css_refs(css), lambda r: r["url"])
 
 
+def raw_elements(html: Column | str, tag: str) -> Column:
+    """Start tag and text of each raw text element of this name."""
+    return F.filter(groups(col(html), RAW_TEXT, 0), lambda m: F.startswith(ascii_lower(F.left(m, F.lit(len(tag) + 1))), F.lit("<" + tag)))
+
+
+def _inside(element: Column) -> Column:
+    return F.regexp_replace(element, r"^<[^>]*>", "")
+
+
 def inline_css_urls(html: Column | str) -> Column:
-    sheets = groups(col(html), r"(?is)<style\b[^>]*>([\s\S]*?)</style>")
-    attributes = F.transform(groups(col(html), r"""(?i)style\s*=\s*("[^"]*"|'[^']*')"""), lambda a: _entities(F.substr(a, F.lit(2), F.length(a) - 2)))
+    """URLs of style elements, then of style attributes, each once."""
+    sheets = F.transform(raw_elements(html, "style"), _inside)
+    attributes = F.flatten(F.transform(tags(html), lambda t: F.transform(F.filter(t["attributes"], lambda a: a["name"] == "style"), lambda a: a["value"])))
     return F.array_distinct(F.flatten(F.transform(F.concat(sheets, attributes), lambda c: css_urls(c))))
 
 
@@ -162,13 +168,19 @@ def js_urls(js: Column | str) -> Column:
 
 
 def inline_js_urls(html: Column | str) -> Column:
-    own = F.filter(groups(col(html), r"(?is)<script\b[^>]*>[\s\S]*?</script>", 0), lambda s: ~s.rlike(r"(?is)^<script\b[^>]*\bsrc\s*="))
-    return F.array_distinct(F.flatten(F.transform(own, lambda s: js_urls(F.regexp_extract(s, r"(?is)^<script\b[^>]*>([\s\S]*?)</script>$", 1)))))
+    """URLs of script elements without a source, each once."""
+    own = F.filter(raw_elements(html, "script"), lambda s: ~F.exists(tags(s), lambda t: F.exists(t["attributes"], lambda a: a["name"] == "src")))
+    return F.array_distinct(F.flatten(F.transform(own, lambda s: js_urls(_inside(s)))))
+
+
+#: Attributes that number a page.
+PAGING_ATTRIBUTES = ("data-page", "data-page-number", "data-pagenumber")
 
 
 def page_numbers(html: Column | str, most: int) -> Column:
     """Sorted page numbers 1 to 5000 (and no more than most) of paging attributes; none if there is but one page."""
-    raw = groups(col(html), r"""(?i)(?:data-page|data-page-number|data-pagenumber)\s*=\s*["'](\d{1,4})["']""")
+    numbered = lambda a: a["name"].isin(*PAGING_ATTRIBUTES) & a["value"].rlike("^[0-9]{1,4}$")
+    raw = F.flatten(F.transform(tags(html), lambda t: F.transform(F.filter(t["attributes"], numbered), lambda a: a["value"])))
     found = F.sort_array(F.array_distinct(F.filter(F.transform(raw, lambda n: n.cast("int")), lambda n: (n >= 1) & (n <= 5000))))
     top = F.coalesce(F.array_max(found), F.lit(0))
     return F.when(top > 1, F.filter(found, lambda n: n <= most)).otherwise(F.array().cast("array<int>"))
@@ -199,5 +211,11 @@ def xml_decode(text: Column) -> Column:
 
 
 def sitemap_locs(xml: Column | str) -> Column:
-    found = F.transform(groups(col(xml), r"(?i)<loc>\s*([^<]+?)\s*</loc>"), lambda v: xml_decode(trim_space(v)))
-    return F.array_distinct(F.filter(found, lambda v: v != ""))
+    """Texts of loc elements, decoded and trimmed, each once."""
+
+    def texts(pieces: Column) -> Column:
+        starts = lambda p, mark: ascii_lower(F.left(p, F.lit(len(mark)))) == mark
+        own = F.filter(pieces, lambda p, i: starts(p, "loc>") & starts(F.get(pieces, i + 1), "/loc>"))
+        return F.transform(own, lambda p: xml_decode(trim_space(F.substr(p, F.lit(5)))))
+
+    return F.array_distinct(F.filter(let(F.split(col(xml), "<"), texts), lambda v: v != ""))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from webweft.functions import detect, extract, paths, predicates, render, rewrite, urls
+from webweft.functions import detect, dom, extract, paths, predicates, render, rewrite, urls
 from webweft.operators import events, json_walk, links, patterns, report, state
 from webweft.operators.shared import written
 from webweft.plans import site_crawl
@@ -24,9 +25,12 @@ def url_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _read(spark, sf_dir, "pages").select("page_id", urls.url_parse("url").alias("base"), "html")
-    links = pages.select("page_id", "base", F.posexplode(extract.html_links("html")).alias("position", "link"))
-    return links.select("page_id", "position", F.col("link.tag").alias("tag"), F.col("link.url").alias("href"), urls.resolve_text(F.col("base"), "link.url").alias("target"))
+    """The links of each page in document order, and what they mean on its address."""
+    found = dom.links(dom.elements(_read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("base"), "html")))
+    # A page's links are as many as its text holds.
+    order = Window.partitionBy("page_id").orderBy("node", "rule", "nth")
+    rows = found.withColumn("position", F.row_number().over(order) - 1)
+    return rows.select("page_id", "position", "tag", F.col("url").alias("href"), urls.resolve_key("base", "url").alias("target"))
 
 
 def out_links_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,12 +228,14 @@ def site_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' links enqueued: resolved, canonical, in scope, within depth, not visited, each once at its least depth."""
     pages = _read(spark, sf_dir, "pages")
-    documents = pages.select(urls.canonical_key("url").alias("url"), F.lit("html").alias("kind"), (F.col("page_id") % 3).cast("int").alias("depth"), F.col("html").alias("body"))
-    found = links.document_links(documents)
+    key = urls.canonical_key("url")
+    done = written(pages.select(key.alias("url"), key.alias("final_url"), F.lit("html").alias("kind"), (F.col("page_id") % 3).cast("int").alias("depth"), F.col("html").alias("body")), "pages")
+    rules = site_crawl.Rules(max_depth=2, same_host=False, exclude=("/THE",))
+    found = site_crawl.found_links(done, rules)
     visited = found.filter("depth = 0 AND href LIKE '/t%'").select(urls.resolve_key("base", "href").alias("url"))
+    new = site_crawl.targets(found, spark.createDataFrame([], "origin string"), rules)
     frontier = spark.createDataFrame([], state.FRONTIER)
-    seed = "http://h.example/"
-    return links.enqueue_links(found, frontier, visited, seed, 2, same_host=False, allowed=lambda u: predicates.url_allowed(u, [], ["/THE"])).select("url", "depth", "status")
+    return state.enqueue(frontier, visited, new.withColumn("added_at", F.col("depth").cast("long"))).select("url", "depth", "status")
 
 
 def crawl_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
