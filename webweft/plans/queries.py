@@ -157,8 +157,11 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The places to try on a site, in order: 575 of them."""
-    return sources.probe_paths(spark)
+    """The places to try on every site of the pages, in order: 575 of each."""
+    places = sources.probe_paths(spark).select(F.sort_array(F.collect_list(F.struct("position", "path"))).alias("p")).first()["p"]  # fixed values
+    origins = _read(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "^[^:]+://[^/?#]*", 0)).alias("origin")).distinct()
+    tried = origins.select("origin", F.posexplode(F.array(*(F.lit(p["path"]) for p in places))).alias("position", "path"))
+    return tried.select("origin", "position", F.concat("origin", "path").alias("url"))
 
 
 def link_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,8 +410,9 @@ ORACLE_SQL |= {
     "probe_paths": f"""WITH b AS (SELECT unnest(string_split('{" ".join(sources.PROBE_BASES)}', ' ')) AS base, generate_subscripts(string_split('{" ".join(sources.PROBE_BASES)}', ' '), 1) AS i),
 s(j, suffix) AS (VALUES (0, ''), (1, '/'), (2, '.php'), (3, '.html'), (4, '/index.php'), (5, '/index.html')),
 o AS (SELECT unnest(string_split('{" ".join(sources.PROBE_OTHERS)}', ' ')) AS path, generate_subscripts(string_split('{" ".join(sources.PROBE_OTHERS)}', ' '), 1) AS j),
-p AS (SELECT base || suffix AS path, i * 100 + j AS place FROM b, s WHERE j < 2 OR NOT (ends_with(base, '.php') OR ends_with(base, '.html')) UNION ALL SELECT path, 1000000 + j FROM o)
-SELECT CAST(row_number() OVER (ORDER BY min(place)) - 1 AS INT) AS position, path FROM p GROUP BY path""",
+p AS (SELECT base || suffix AS path, i * 100 + j AS place FROM b, s WHERE j < 2 OR NOT (ends_with(base, '.php') OR ends_with(base, '.html')) UNION ALL SELECT path, 1000000 + j FROM o),
+n AS (SELECT CAST(row_number() OVER (ORDER BY min(place)) - 1 AS INT) AS position, path FROM p GROUP BY path)
+SELECT origin, position, origin || path AS url FROM n, (SELECT DISTINCT regexp_extract(url, '^[^:]+://[^/?#]*') AS origin FROM pages)""",
     "link_weights": f"""WITH {_PARTS}, {_LINKS}, n AS (SELECT *, page_id + position AS n FROM l), k AS (SELECT *, href || ['', '.html', '.PHP', '.css', '.js', '.png', '.unknown', '/'][n % 8 + 1] AS path, ['a', 'img', 'link', 'script', 'iframe', 'div'][n % 6 + 1] AS tag FROM n),
 e AS (SELECT *, lower(coalesce(list_extract(regexp_extract_all(path, '[^/][.]([^./]+)$', 1), 1), '')) AS ext FROM k)
 SELECT page_id, CAST(position AS INT) AS position, CAST(CASE WHEN n % 4 = 0 OR tag IN ('script', 'img') THEN 0 WHEN tag IN ('a', 'iframe') THEN 1 WHEN ext IN {_HTML_EXT} THEN 1 ELSE 0 END AS INT) AS link,
