@@ -71,7 +71,9 @@ def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frontier_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "pages").select(urls.canonical_key("url").alias("url"), "page_id", (F.col("page_id") % 5).cast("int").alias("depth"), F.col("page_id").alias("added_at"))
-    frontier = rows.filter("page_id % 3 = 0").select("url", "depth", F.lit("in_progress").alias("status"), "added_at").dropDuplicates(["url"])
+    # Of pages of one address the first counts, whichever order they are read in.
+    first = rows.filter("page_id % 3 = 0").groupBy("url").agg(F.min_by("depth", "page_id").alias("depth"), F.min("added_at").alias("added_at"))
+    frontier = first.select("url", "depth", F.lit("in_progress").alias("status"), "added_at")
     new = rows.unionByName(rows.withColumn("depth", F.col("depth") - 1))
     return state.resume(state.enqueue(frontier, rows.filter("page_id % 3 = 1"), new))
 
