@@ -21,3 +21,10 @@ def test_enqueue_takes_the_first_page_of_an_address(spark, folder):
     old = [(n, n % 5, f"http://h.x/{n}", "pending") for n in range(0, 30, 3)]
     new = [(n, n % 5 - 1, f"http://h.x/{n}", "pending") for n in range(2, 30, 3)]
     assert got == sorted(old + new)
+
+
+def test_dequeue_marks_the_same_rows_that_it_takes(spark, folder):
+    """All rows are pending and not more than the twenty that are taken: each is marked by its own age."""
+    got = {r["url"]: (r["depth"], r["status"], r["added_at"]) for r in queries.frontier_dequeue(spark, folder).collect()}
+    ages = [n for n in range(30) if n % 3 != 1]
+    assert got == {f"http://h.x/{n}": (n % 5 - (n % 3 == 2), "in_progress" if n % 2 else "done", n) for n in ages}
