@@ -153,3 +153,17 @@ def test_hard_negatives_on_awkward_rows(spark, monkeypatch):
     assert hard_negatives.mine(vectors, F.lit(False)).count() == 0
     big = np.array([[2**40, 3]]), np.array([[2**21, 1]])
     assert hard_negatives.product(*big).tolist() == [[2**61 + 3]]
+
+
+def test_html_text_hashes_each_word_once(monkeypatch):
+    """Blocks of pages share the hashes of their words, and texts do not depend on which words are known before."""
+    from webweft.llm import html_main
+
+    pages = [html_main.unpack(html_main.pack(f"<p>{' '.join(f'w{i * k % 97}' for k in range(60))}</p><p>the same line of ten words stands on every page</p>")) for i in range(40)]
+    alone = [t for n in (0, 20) for t in html_main.main_texts(pages[n : n + 20], 40)]
+    hashed, real = [], html_main.hashlib.blake2b
+    monkeypatch.setattr(html_main.hashlib, "blake2b", lambda w, **how: hashed.append(w) or real(w, **how))
+    words = html_main.Words()
+    assert [t for n in (0, 20) for t in html_main.main_texts(pages[n : n + 20], 40, None, words)] == alone
+    assert len(hashed) == len(set(hashed)) == len({t for p in pages for t in html_main.stream(p)})
+    assert words.hashes[words.number["w5"]] == int.from_bytes(real(b"w5", digest_size=8).digest(), "little")

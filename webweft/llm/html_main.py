@@ -33,8 +33,9 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import compress, count, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,8 @@ COPIED, COPIED_PAGE = 0.5, 0.9
 PAGES, BLOCK_CHARS = 256, 2_400_000
 #: Run hashes that a task holds before it hands them on.
 HELD = 2_000_000
+#: Words that a task keeps from one block of pages to the next.
+KNOWN = 500_000
 #: Parts of a host's run hashes that meet in one place each, at most; a host of fewer blocks has as many parts as blocks.
 BUCKETS = 4096
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<\Z", re.S | re.I)
@@ -237,14 +240,30 @@ def stretches(drop: np.ndarray, word: np.ndarray, least: int = RUN) -> np.ndarra
     return out
 
 
-def run_hashes(words: list[str], known: dict[str, int], run: int = RUN) -> np.ndarray:
-    """A hash of each run of `run` words in a row of a page, the same in every process. known: a cache of words' hashes."""
-    if len(words) < run:
+class Words:
+    """Numbers of tokens, and their hashes by number, the same in every process; each token is hashed once."""
+
+    def __init__(self):
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.hashes = np.zeros(1 << 12, np.uint64)
+        self.hashed = 0
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        if new := len(self.number) - self.hashed:
+            fresh = [*islice(reversed(self.number), new)][::-1]
+            digests = b"".join([hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in fresh])
+            if len(self.number) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes, np.zeros(len(self.number), np.uint64)])
+            self.hashes[self.hashed : len(self.number)] = np.frombuffer(digests, "<u8")
+            self.hashed = len(self.number)
+        return out
+
+
+def run_hashes(h: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash of each run of `run` words in a row, from the hashes of the words."""
+    if len(h) < run:
         return np.zeros(0, np.uint64)
-    for w in words:
-        if w not in known:
-            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    h = np.array([known[w] for w in words], np.uint64)
     out = np.zeros(len(h) - run + 1, np.uint64)
     for k in range(run):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - run + 1 + k])
@@ -266,25 +285,26 @@ def anchors(hashes: np.ndarray, border: np.ndarray, run: int = RUN, gap: int = G
     return keep
 
 
-def anchored(words: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of a page's stream, and which of them stay in the array."""
-    h = run_hashes(words, known)
-    return h, anchors(h, np.array([w == BORDER for w in words], bool))
+def anchored(tokens: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of a page's stream of numbers, and which of them stay in the array."""
+    h = run_hashes(words.hashes[tokens])
+    return h, anchors(h, tokens == words.number[BORDER])
 
 
-def main_texts(pages: list[list[tuple[int, list[str]]]], host_pages: int, told: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+def main_texts(pages: list[list[tuple[int, list[str]]]], host_pages: int, told: tuple[np.ndarray, np.ndarray] | None = None, words: Words | None = None) -> list[str]:
     """Main texts of some pages of one host, given as in `unpack`.
 
     told: of a host of several blocks, the sorted hashes of the runs that stand on several of its pages, and on how many.
+    words: numbers of tokens that are known from other pages.
     """
+    words = words or Words()
     streams = [stream(p) for p in pages]
-    known: dict[str, int] = {}
-    tokens = np.array([known.setdefault(t, len(known)) for s in streams for t in s], np.int64)
+    numbered = [words.numbers(s) for s in streams]
+    tokens = np.concatenate([np.zeros(0, np.int64), *numbered])
     page = np.repeat(np.arange(len(pages)), [len(s) for s in streams])
     suffix_array, group = parts(tokens, page)
-    cache: dict[str, int] = {}
-    hashed = [anchored(words, cache) for words in streams]
-    fill = [np.zeros(len(words) - len(h), np.uint64) for words, (h, _) in zip(streams, hashed, strict=True)]
+    hashed = [anchored(s, words) for s in numbered]
+    fill = [np.zeros(len(s) - len(h), np.uint64) for s, (h, _) in zip(numbered, hashed, strict=True)]
     at = np.concatenate([np.zeros(0, np.uint64), *(x for (h, _), f in zip(hashed, fill, strict=True) for x in (h, f))])
     stays = np.concatenate([np.zeros(0, bool), *(x for (_, keep), f in zip(hashed, fill, strict=True) for x in (keep, f > 0))])
     if len(group):
@@ -299,9 +319,11 @@ def main_texts(pages: list[list[tuple[int, list[str]]]], host_pages: int, told:
     often = max(MANY, int(np.ceil(SHARE * host_pages)))
     twice, everywhere = (covered(suffix_array[(many >= least)[group]], len(tokens)) for least in (2, often))
     out, at = [], 0
-    for blocks_of in pages:
-        region = np.array([r for r, words in blocks_of for _ in (0, *words)], int)
-        word = np.array([k > 0 for _, words in blocks_of for k in range(len(words) + 1)], bool)
+    for blocks_of, flat in zip(pages, streams, strict=True):
+        sizes = np.array([len(own) + 1 for _, own in blocks_of], int)
+        region = np.repeat(np.array([r for r, _ in blocks_of], int), sizes)
+        word = np.ones(len(region), bool)
+        word[np.cumsum(sizes) - sizes] = False
         two, all_over = twice[at : at + len(region)], everywhere[at : at + len(region)]
         article = word & (region == ARTICLE)
         plain = word & (region == PLAIN)
@@ -311,8 +333,7 @@ def main_texts(pages: list[list[tuple[int, list[str]]]], host_pages: int, told:
         if (article & all_over).sum() < COPIED * article.sum():
             drop |= article & all_over
         drop = stretches(drop, word)
-        flat = [w for _, words in blocks_of for w in (BORDER, *words)]
-        out.append(" ".join(flat[k] for k in np.flatnonzero(word & ~drop).tolist()))
+        out.append(" ".join(compress(flat, (word & ~drop).tolist())))
         at += len(region) + 1 if blocks_of else 0
     return out
 
@@ -321,7 +342,7 @@ def _counted_runs(rows: DataFrame) -> DataFrame:
     """host, block and found (hashes of the block's runs that stand on two pages of the host, and on how many)."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        known = Words()
         held: dict[tuple[str, int, int], list[np.ndarray]] = {}
 
         def done() -> pa.RecordBatch:
@@ -344,12 +365,12 @@ def _counted_runs(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for html, host, n, block in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "n", "block")), strict=True):
                 words = [(r, t.split(" ")) for r, t in blocks(html or "") if r != OUT]
-                h, keep = anchored(stream(words), cache)
+                h, keep = anchored(known.numbers(stream(words)), known)
                 h = np.unique(h[keep])
                 held.setdefault((host, n, block), []).append(h)
                 size += len(h)
-                if len(cache) > HELD:
-                    cache.clear()
+                if len(known.number) > HELD:
+                    known = Words()
                 if size > HELD:
                     yield done()
                     size = 0
@@ -405,14 +426,18 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, told = None, [], []
+        words = Words()
 
         def done() -> pa.RecordBatch:
+            nonlocal words
+            if len(words.number) > KNOWN:
+                words = Words()
             answer = None
             if held[0][5] is not None:
                 runs, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x[k], t) for x in told)]) for k, t in ((0, np.uint64), (1, np.uint32)))
                 order = np.argsort(runs)
                 answer = runs[order], counts[order].astype(np.int64)
-            texts = main_texts([unpack(r[4]) for r in held], held[0][5] or len(held), answer)
+            texts = main_texts([unpack(r[4]) for r in held], held[0][5] or len(held), answer, words)
             columns = [pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
