@@ -155,6 +155,39 @@ def test_hard_negatives_on_awkward_rows(spark, monkeypatch):
     assert hard_negatives.product(*big).tolist() == [[2**61 + 3]]
 
 
+def test_hard_negatives_send_no_block_to_every_task(spark, monkeypatch):
+    """Blocks are copied many times, so they meet by key also where Spark takes them for small enough to broadcast."""
+    monkeypatch.setattr(hard_negatives, "ROWS", 40)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 3)
+    vectors = spark.range(300).select(F.col("id").alias("vec_id"), (F.col("id") % 4).cast("int").alias("label"), F.array(*(F.col("id") * 37 % (11 + n) for n in range(70))).alias("x"))
+    plans, writer = [], hard_negatives.written
+    monkeypatch.setattr(hard_negatives, "written", lambda df, label: plans.append(df) or writer(df, label))
+    plans.append(hard_negatives.mine(vectors, F.col("vec_id") % 30 == 0))
+    assert plans[-1].count()
+    for df in plans:
+        df.collect()
+        deep = None  # how far in the line of the broadcast stands that the lines below belong to
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            at = re.search(r"[A-Z(=]", line)
+            if deep is not None and (at is None or at.start() <= deep):
+                deep = None
+            assert deep is None or "Generate explode" not in line
+            deep = at.start() if deep is None and "BroadcastExchange" in line else deep
+
+
+def test_hard_negatives_of_vectors_that_share_an_id(spark, monkeypatch):
+    """Two vectors of one id and label, of which each is the lesser in one chunk, and numbers of all sizes."""
+    monkeypatch.setattr(hard_negatives, "CHUNK", 2)
+    for large in (1, 2**12, 2**28):
+        rows = [(0, 1, [1, 0, 0, large]), (1, 1, [9, 0, 0, 9]), (2, 2, [1, 0, 0, 8]), (2, 2, [8, 0, 0, 1]), (3, 2, [0, 0, 0, 0])]
+        got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, label int, x array<long>"), F.col("vec_id") == 0).collect()
+        scores = sorted((x[0] + large * x[3] for n, _, x in rows if n == 2), reverse=True)
+        positive = 9 + 9 * large
+        inside = [s for s in scores if 80 * positive <= 100 * s <= 100 * positive]
+        assert [tuple(r) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, n + 1, 2, positive, s) for n, s in enumerate(inside)]
+        assert inside or large == 1
+
+
 def test_html_text_hashes_each_word_once(monkeypatch):
     """Blocks of pages share the hashes of their words, and texts do not depend on which words are known before."""
     from webweft.llm import html_main

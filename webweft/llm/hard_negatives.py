@@ -1,22 +1,24 @@
 """Hard-negative mining by a two-dimensional block matrix multiply (SUMMA): anchors by all rows, cut three ways.
 
 Anchors are dealt into blocks i, all rows into blocks j, and the dimensions of both into chunks k. Block (i, k) of the
-anchors goes to every j and block (j, k) of the rows to every i; where they meet they are multiplied to a partial tile
-of int64 scores, and the tiles of one (i, j) are shuffle-added over k. Sums are written once. Each tile is then reduced
-twice, never a whole row of scores: to the best rows of the anchor's own label, whose best over all tiles are the
-anchor's positives, and, for every anchor and positive, to the best other rows inside the positive's window of scores.
+anchors goes to every j and block (j, k) of the rows to every i; where the blocks of one (i, j) meet, the products of
+the chunks are added to int64 scores, some anchors at a time, and reduced at once: to the best rows of the anchor's own
+label, whose best over all (i, j) are the anchor's positives. The blocks meet a second time, the anchors with their
+positives, for the best other rows inside each positive's window of scores. Scores are neither written nor sent.
 
-A block holds so many rows at most on average, dealt by a hash of the id, and a tile so many scores, whatever the number
-of rows, of one label or of one anchor's neighbours.
+A block holds so many rows at most on average, dealt by a hash of the id, whatever the number of rows, of one label or
+of one anchor's neighbours. Blocks meet by key in a shuffle and are never broadcast: Spark takes copied blocks for
+as small as the blocks that they are copied from.
 
 Defined cases: rows without id, label or vector, or with a component that is null or not finite, take no part; shorter
 vectors are padded with zeros; rows repeated in id, label and vector count once; another row is one with another id;
-a table without anchors gives no rows. Scores are exact as long as they fit 64 bits. Other columns are ignored.
+a table without anchors gives no rows. Scores are exact as long as they and 100 times a positive's fit 64 bits. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +28,18 @@ from pyspark.sql.window import Window
 
 from .common import table, written
 
-#: Anchors and rows of a block on average, and dimensions of a chunk.
-ANCHORS, ROWS, CHUNK = 128, 1024, 32
+#: Anchors and rows of a block on average, and dimensions of a chunk. A score costs dimensions / ANCHORS + dimensions /
+#: ROWS numbers sent.
+ANCHORS, ROWS, CHUNK = 4096, 4096, 32
+#: Anchors whose scores with a block's rows are in memory at a time.
+STRIP = 256
 POSITIVES, NEGATIVES = 5, 5
 #: A negative scores so many hundredths of its positive's score at least, and 100 at most.
 LEAST_PERCENT = 80
-#: Blocks of anchors whose positives may be broadcast: ANCHORS times POSITIVES short rows each.
-BROADCAST_BLOCKS = 500
-
-TILE = "i int, j int, anchors array<long>, anchor_labels array<int>, rows array<long>, row_labels array<int>, scores binary"
+#: What numbers may be sent as, the least that holds them all.
+KINDS = {"short": 2**15, "int": 2**31, "long": 2**63}
+#: No score.
+NONE = np.iinfo(np.int64).min
 
 
 def quantized(embeddings: DataFrame) -> DataFrame:
@@ -46,12 +51,13 @@ def quantized(embeddings: DataFrame) -> DataFrame:
     return rows.withColumn("x", F.transform("x", lambda v: F.floor(v * 256).cast("long"))).distinct()
 
 
-def _blocks(rows: DataFrame, number: int, key: str, chunks: int) -> DataFrame:
-    """Rows dealt into blocks and their vectors into chunks: key, k, and the block's rows (vec_id, label, x) by id."""
-    dealt = rows.withColumn(key, F.pmod(F.xxhash64("vec_id", F.lit(key)), F.lit(number)).cast("int"))
-    cut = dealt.select(key, "vec_id", "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.slice("x", k * CHUNK + 1, CHUNK))).alias("k", "x"))
-    # A block has a bounded number of rows, so a list of it is bounded too.
-    return cut.groupBy(key, "k").agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "x"))).alias(f"{key}_rows"))
+def _blocks(rows: DataFrame, number: int, key: str, chunks: int, kind: str) -> DataFrame:
+    """Rows dealt into blocks and their vectors into chunks: key, k, and the block's rows (vec_id, label, x, others) by id."""
+    dealt = rows.withColumn(key, F.pmod(F.xxhash64("vec_id", F.lit(key)), F.lit(number)).cast("int")).withColumn("whole", F.xxhash64("x"))
+    others = [c for c in rows.columns if c not in ("vec_id", "label", "x")]
+    cut = dealt.select(key, "vec_id", "label", "whole", *others, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda k: F.slice("x", k * CHUNK + 1, CHUNK).cast(f"array<{kind}>"))).alias("k", "x"))
+    # A block has a bounded number of rows, so a list of it is bounded too. Vectors of one id stand alike in all chunks.
+    return cut.groupBy(key, "k").agg(F.array_sort(F.collect_list(F.struct("vec_id", "label", "whole", "x", *others))).alias(f"{key}_rows"))
 
 
 def _matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,93 +77,98 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for n in range(batch.num_rows):
-            part = batch.slice(n, 1)
-            (ids_a, labels_a, a), (ids_b, labels_b, b) = (_matrix(part.column(c).flatten()) for c in ("i_rows", "j_rows"))
-            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("j"), *(pa.array([x], pa.list_(t)) for x, t in ((ids_a, pa.int64()), (labels_a, pa.int32()), (ids_b, pa.int64()), (labels_b, pa.int32()))), pa.array([product(a, b).tobytes()], pa.binary())], [c.split()[0] for c in TILE.split(", ")])
+def _by_chunk(blocks: pa.Table, column: str) -> dict[int, pa.StructArray]:
+    lists = blocks.column(column).combine_chunks()
+    return {k: lists.slice(n, 1).flatten() for n, k in enumerate(blocks.column("k").to_pylist())}
+
+
+def _sums(anchors: dict[int, pa.StructArray], rows: dict[int, pa.StructArray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some anchors at a time: where they stand in their block, their ids and labels, the rows' ids and labels, scores."""
+    left, right = ({k: _matrix(x) for k, x in sorted(side.items())} for side in (anchors, rows))
+    (ids, labels, _), (row_ids, row_labels, _) = left[0], right[0]
+    for s in (slice(at, at + STRIP) for at in range(0, len(ids), STRIP)):
+        yield s, ids[s], labels[s], row_ids, row_labels, sum(product(left[k][2][s], right[k][2]) for k in left)
+
 
+def _best(scores: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the best allowed scores of each row, so many at most; of equal ones the first columns."""
+    counts = np.minimum(allowed.sum(axis=1), most)
+    rest, at = np.where(allowed, scores, NONE), np.arange(len(scores))
+    found = np.zeros((len(scores), int(counts.max(initial=0))), np.int64)
+    for n in range(found.shape[1]):
+        found[:, n] = rest.argmax(axis=1)
+        rest[at, found[:, n]] = NONE
+    good = np.arange(found.shape[1]) < counts[:, None]
+    return np.nonzero(good)[0], found[good]
 
-def _add(tiles: pa.Table) -> pa.Table:
-    """One tile from the partial ones of all chunks."""
-    total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in tiles.column("scores"))
-    return tiles.slice(0, 1).set_column(tiles.num_columns - 1, "scores", pa.array([total.tobytes()], pa.binary()))
 
+def meeting(rows: DataFrame, anchors: DataFrame, reduce: Callable, schema: str) -> DataFrame:
+    """What `reduce` makes of every block of anchors and block of rows: it gets the chunks of both, and yields columns.
 
-def score_tiles(rows: DataFrame, anchors: DataFrame) -> DataFrame:
-    """The sums of all tiles of anchors by rows, written. Both: written tables of vec_id, label, x."""
-    n, size = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    Both tables: vec_id, label, x; others of anchors come along.
+    """
+    n, size, low, high = rows.agg(F.count("*"), F.max(F.size("x")), F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
+    kind = next(k for k, most in KINDS.items() if -most <= (low or 0) and (high or 0) < most)
     across, down, chunks = max(1, -(-n // ROWS)), max(1, -(-anchors.count() // ANCHORS)), max(1, -(-(size or 1) // CHUNK))
-    left = _blocks(anchors, down, "i", chunks).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
-    right = _blocks(rows, across, "j", chunks).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
-    partial = left.join(right, ["i", "j", "k"]).select("i", "j", "i_rows", "j_rows").mapInArrow(_multiply, TILE)
-    return written(partial.groupBy("i", "j").applyInArrow(_add, TILE), "tiles")
+    # Few blocks of anchors, copied many times: each by a task of its own.
+    left = _blocks(anchors, down, "i", chunks, kind).repartition(down * chunks).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    right = _blocks(rows, across, "j", chunks, kind).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts = list(reduce(_by_chunk(a, "i_rows"), _by_chunk(b, "j_rows"))) if a.num_rows and b.num_rows else []
+        columns = zip(*parts, strict=True) if parts else [[np.zeros(0, np.int64)]] * len(names)
+        return pa.Table.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in columns], names)
 
-def _each(batches: Iterator[pa.RecordBatch]):
-    """The tiles one by one: anchors, their labels, rows, their labels, scores, and each anchor's order of the rows."""
-    for batch in batches:
-        for n in range(batch.num_rows):
-            ids, labels, rows, row_labels = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in ("anchors", "anchor_labels", "rows", "row_labels"))
-            scores = np.frombuffer(batch.column("scores")[n].as_buffer(), np.int64).reshape(len(ids), len(rows))
-            # Rows stand by id, so a stable order by score has ties by id.
-            yield batch, n, ids, labels, rows, row_labels, scores, np.argsort(-scores, axis=1, kind="stable")
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(run, schema)
 
 
-def positives(tiles: DataFrame, most: int = POSITIVES) -> DataFrame:
-    """i, anchor_id, label, positive_id, positive_score: the best other rows of each anchor's label."""
-    schema = "i int, anchor_id long, positive_id long, positive_score long"
+def positives(rows: DataFrame, anchors: DataFrame, most: int = POSITIVES) -> DataFrame:
+    """anchor_id, positive_id, positive_score: the best other rows of each anchor's label."""
 
-    def run(batches):
-        for batch, n, ids, labels, rows, row_labels, scores, order in _each(batches):
-            out = []
-            for a in range(len(ids)):
-                own = order[a][(row_labels[order[a]] == labels[a]) & (rows[order[a]] != ids[a])][:most]
-                out.append((np.full(len(own), ids[a]), rows[own], scores[a, own]))
-            columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), batch.column("i")[n].as_py(), np.int32)), *map(pa.array, columns)], ["i", "anchor_id", "positive_id", "positive_score"])
+    def reduce(a, b):
+        for _, ids, labels, others, other_labels, scores in _sums(a, b):
+            # Rows stand by id, so the first of equal scores is that of the least id.
+            r, c = _best(scores, (other_labels == labels[:, None]) & (others != ids[:, None]), most)
+            yield ids[r], others[c], scores[r, c]
 
-    # Of each tile so many rows an anchor at most.
-    best = Window.partitionBy("i", "anchor_id").orderBy(F.desc("positive_score"), "positive_id")
-    return tiles.mapInArrow(run, schema).withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= most).drop("_place")
+    best = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
+    found = meeting(rows, anchors, reduce, "anchor_id long, positive_id long, positive_score long")
+    return found.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= most).drop("_place")
 
 
-def negatives(tiles: DataFrame, wanted: DataFrame, blocks: int, most: int = NEGATIVES, least_percent: int = LEAST_PERCENT) -> DataFrame:
+def negatives(rows: DataFrame, anchors: DataFrame, wanted: DataFrame, most: int = NEGATIVES, least_percent: int = LEAST_PERCENT) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score. wanted: as `positives` gives it."""
-    schema = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
-    lists = wanted.groupBy("i").agg(F.collect_list(F.struct("anchor_id", "positive_id", "positive_score")).alias("wanted"))
-    lists = F.broadcast(lists) if blocks <= BROADCAST_BLOCKS else lists
-
-    def run(batches):
-        for batch, n, ids, labels, rows, row_labels, scores, order in _each(batches):
-            pairs = batch.column("wanted")[n].values
-            anchor, positive, score = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("anchor_id", "positive_id", "positive_score"))
-            out = [(np.zeros(0, np.int64),) * 5]
-            for a in range(len(ids)):
-                other = order[a][row_labels[order[a]] != labels[a]]
-                falling = scores[a, other]
-                for p in np.flatnonzero(anchor == ids[a]):
-                    begin = np.searchsorted(-falling, -score[p])  # the first that scores no more than the positive
-                    found = falling[begin : begin + most]
-                    found = found[100 * found >= least_percent * score[p]]
-                    size = len(found)
-                    out.append((np.full(size, ids[a]), np.full(size, positive[p]), np.full(size, score[p]), rows[other[begin : begin + size]], found))
-            columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [c.split()[0] for c in schema.split(", ")])
+    # An anchor has some positives at most.
+    lists = wanted.groupBy("anchor_id").agg(F.collect_list(F.struct("positive_id", "positive_score")).alias("wanted"))
+    asking = anchors.join(lists, F.col("vec_id") == F.col("anchor_id")).drop("anchor_id")
+
+    def reduce(a, b):
+        lists = a[0].field("wanted")
+        sizes, pairs = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+        starts = np.cumsum(sizes) - sizes
+        positive, positive_score = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("positive_id", "positive_score"))
+        for s, ids, labels, others, other_labels, scores in _sums(a, b):
+            other = other_labels != labels[:, None]
+            for p in range(sizes[s].max(initial=0)):
+                has = np.flatnonzero(sizes[s] > p)
+                at = starts[s][has] + p
+                most_score, least_score = positive_score[at], -(-least_percent * positive_score[at] // 100)
+                inside = other[has] & (scores[has] <= most_score[:, None]) & (scores[has] >= least_score[:, None])
+                r, c = _best(scores[has], inside, most)
+                yield ids[has[r]], positive[at[r]], most_score[r], others[c], scores[has[r], c]
 
     best = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
-    found = tiles.join(lists, "i").mapInArrow(run, schema).withColumn("rank", F.row_number().over(best))
-    return found.filter(F.col("rank") <= most).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    found = meeting(rows, asking, reduce, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
+    found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def mine(rows: DataFrame, is_anchor: F.Column) -> DataFrame:
     """Hard negatives of every anchor and positive. rows: vec_id, label, x (whole numbers)."""
     rows = written(rows, "vectors")
     anchors = rows.filter(is_anchor)
-    tiles = score_tiles(rows, anchors)
-    wanted = written(positives(tiles), "positives")
-    return negatives(tiles, wanted, -(-anchors.count() // ANCHORS))
+    return negatives(rows, anchors, written(positives(rows, anchors), "positives"))
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
