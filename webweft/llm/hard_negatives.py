@@ -93,13 +93,14 @@ def _sums(anchors: dict[int, pa.StructArray], rows: dict[int, pa.StructArray]) -
 def _best(scores: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the best allowed scores of each row, so many at most; of equal ones the first columns."""
     counts = np.minimum(allowed.sum(axis=1), most)
-    rest, at = np.where(allowed, scores, NONE), np.arange(len(scores))
-    found = np.zeros((len(scores), int(counts.max(initial=0))), np.int64)
+    some = np.flatnonzero(counts)
+    counts, rest, at = counts[some], np.where(allowed[some], scores[some], NONE), np.arange(len(some))
+    found = np.zeros((len(some), int(counts.max(initial=0))), np.int64)
     for n in range(found.shape[1]):
         found[:, n] = rest.argmax(axis=1)
         rest[at, found[:, n]] = NONE
     good = np.arange(found.shape[1]) < counts[:, None]
-    return np.nonzero(good)[0], found[good]
+    return some[np.nonzero(good)[0]], found[good]
 
 
 def meeting(rows: DataFrame, anchors: DataFrame, reduce: Callable, schema: str) -> DataFrame:
@@ -151,12 +152,12 @@ def negatives(rows: DataFrame, anchors: DataFrame, wanted: DataFrame, most: int
         for s, ids, labels, others, other_labels, scores in _sums(a, b):
             other = other_labels != labels[:, None]
             for p in range(sizes[s].max(initial=0)):
-                has = np.flatnonzero(sizes[s] > p)
-                at = starts[s][has] + p
-                most_score, least_score = positive_score[at], -(-least_percent * positive_score[at] // 100)
-                inside = other[has] & (scores[has] <= most_score[:, None]) & (scores[has] >= least_score[:, None])
-                r, c = _best(scores[has], inside, most)
-                yield ids[has[r]], positive[at[r]], most_score[r], others[c], scores[has[r], c]
+                # Anchors with fewer positives look at another's, and find nothing.
+                at = np.minimum(starts[s] + p, len(positive) - 1)
+                limit = positive_score[at]
+                least = np.where(sizes[s] > p, -(-least_percent * limit // 100), np.iinfo(np.int64).max)
+                r, c = _best(scores, other & (scores <= limit[:, None]) & (scores >= least[:, None]), most)
+                yield ids[r], positive[at[r]], limit[r], others[c], scores[r, c]
 
     best = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
     found = meeting(rows, asking, reduce, "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
